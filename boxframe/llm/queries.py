@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, mixing, quality_rules, secrets, simhash, url_filters
+from . import decontaminate, line_dedup, mixing, quality_classifier, quality_rules, secrets, simhash, toxicity, url_filters
 from .common import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,12 +45,22 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(_table(spark, sf_dir, "pages", "page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "labels", "doc_id", "quality")
+    return quality_classifier.score(docs, quality_classifier.train(docs, labels))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents", "doc_id", "text", "lang"), _table(spark, sf_dir, "labels", "doc_id", "toxic")
+    return toxicity.score(docs, toxicity.train(docs, labels))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.classes(_table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
 def queries() -> dict[str, Query]:
-    each = [op1_line_dedup, op2_decontamination, op3_secret_scan, op5_source_mixing, op6_quality_rules, op7_url_filters, op10_simhash]
+    each = [op1_line_dedup, op2_decontamination, op3_secret_scan, op5_source_mixing, op6_quality_rules, op7_url_filters, op8_quality_classifier, op9_toxicity, op10_simhash]
     return {f.__name__: f for f in each}
 
 
