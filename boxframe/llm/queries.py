@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, mixing, quality_classifier, quality_rules, secrets, simhash, toxicity, url_filters
+from . import decontaminate, line_dedup, mixing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup, toxicity, url_filters
 from .common import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.dedup(_table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.keyed(_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     rows = stored(rows.drop("text"), "keys")
@@ -60,7 +64,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    each = [op1_line_dedup, op2_decontamination, op3_secret_scan, op5_source_mixing, op6_quality_rules, op7_url_filters, op8_quality_classifier, op9_toxicity, op10_simhash]
+    each = [op1_line_dedup, op2_decontamination, op3_secret_scan, op4_suffix_dedup, op5_source_mixing, op6_quality_rules, op7_url_filters, op8_quality_classifier, op9_toxicity, op10_simhash]
     return {f.__name__: f for f in each}
 
 
