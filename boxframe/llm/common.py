@@ -73,6 +73,15 @@ def broadcast_if_small(df: DataFrame, bound_rows: int) -> DataFrame:
     return F.broadcast(df) if small(df, bound_rows) else df
 
 
+def filtered(df: DataFrame, condition: Column) -> DataFrame:
+    """df.where(condition), evaluated on df's finished columns.
+
+    Catalyst pushes filters below projections and repeats their expressions there, inside lambdas once per
+    element. It does not push below a projection with a row number.
+    """
+    return df.withColumn("__bf_row", F.monotonically_increasing_id()).where(condition & (F.col("__bf_row") >= 0)).drop("__bf_row")
+
+
 def ship(module: str) -> None:
     """Sends a module's functions to executors by value, so that the package need not be installed there."""
     cloudpickle.register_pickle_by_value(sys.modules[module])
