@@ -1,5 +1,115 @@
-"""DuckDB SQL that states the same results independently of the Spark code."""
+"""DuckDB SQL that states the same results independently of the Spark code.
+
+URL filters (FP-growth), both classifiers, suffix-array dedup (byte strings) and SimHash (XXH64) have none; the tests hold them
+against brute-force versions and held-out labels.
+"""
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP1 = """
+with l as (select doc_id, text, string_split(text, chr(10)) as l from documents),
+w as (select doc_id, p, l[p] || chr(10) || l[p + 1] || chr(10) || l[p + 2] as win from (select doc_id, l, unnest(range(1, len(l) - 1)) as p from l)),
+r as (select doc_id, p, row_number() over (partition by win order by doc_id nulls first, p) as n from w),
+c as (select doc_id, list(distinct p + k) as gone from r, (values (0), (1), (2)) as t(k) where n > 1 group by doc_id)
+select l.doc_id,
+  case when gone is null then text else array_to_string([x[1] for x in list_zip(l, range(1, len(l) + 1)) if not list_contains(gone, x[2])], chr(10)) end as text,
+  coalesce(len(l), 0)::bigint as n_lines, coalesce(len(gone), 0)::bigint as n_removed
+from l left join c using (doc_id)
+"""
+
+OP2 = rf"""
+with d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+wins as (select distinct item_id, array_to_string(w[p : p + least(len(w), 10) - 1], ' ') as win, least(len(w), 10) as n
+  from (select item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) as p from b where len(w) > 0)),
+sizes as (select distinct n from wins),
+places as (select doc_id, p, n, array_to_string(w[p : p + n - 1], ' ') as win from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as p from d, sizes where len(w) >= n)),
+hits as (select doc_id, item_id, p, places.n from places join wins using (win)),
+covered as (select doc_id, count(distinct p + k) as n_hit from (select doc_id, p, unnest(range(0, n)) as k from hits) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as ids from (select distinct doc_id, item_id::varchar as i from hits) group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join covered using (doc_id) left join items using (doc_id)
+"""
+
+_ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _spans(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
+    return f"""select doc_id, {rank} as r, '{kind}' as kind, start, start + len_ as stop from (
+  select doc_id, list_sum([length(x) for x in gaps[1:i]]) + coalesce(list_sum([length(x) for x in whole[1:i - 1]]), 0) as start, length(whole[i]) as len_, length(tested[i]) as m
+  from (select doc_id, whole, tested, gaps, unnest(range(1, len(whole) + 1)) as i from (
+    select doc_id, regexp_extract_all(t, '{pattern}') as whole, regexp_extract_all(t, '{pattern}', {group}) as tested, string_split_regex(t, '{pattern}') as gaps from d))) where m >= {least}"""
+
+
+OP3 = f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+s as ({_spans("assign", 0, _ASSIGN, 2, 6)} union all {_spans("access", 1, "AKIA[A-Z0-9]+", 0, 20)} union all {_spans("hex", 2, "[0-9a-f]+", 0, 24)}),
+a as (select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+  string_agg(kind || ':' || start::bigint || ':' || stop::bigint, ',' order by start, r) as spans from s group by doc_id)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex,
+  sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join a using (doc_id)
+"""
+
+OP5 = rf"""
+with d as (select doc_id, source, len({_SPACE_WORDS})::bigint as size,
+    strlen(coalesce(text, '')) - strlen(translate(coalesce(text, ''), '0123456789#*$%&|<>', '')) as odd,
+    (('0x' || substr(md5('5:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint + 0.5::double) / 4503599627370496.0::double as u from documents),
+k as (select doc_id, source, size, -ln(u) / greatest(0.2::double, 1.0::double - odd::double / (greatest(size, 1) * 2.0::double)) as key from d),
+s as (select source, sum(size)::bigint as source_size, (array[1, 2, 3])[(row_number() over (order by source nulls last) - 1) % 3 + 1] as w from k group by source),
+c as (select *, source_size * 3 as cap, sum(source_size) over () as total from s),
+o as (select *, coalesce(sum(cap) over (order by cap::double / w, source nulls last rows between unbounded preceding and 1 preceding), 0) as cap_before,
+    sum(w) over (order by cap::double / w, source nulls last rows between current row and unbounded following) as w_left from c),
+v as (select *, (total - cap_before)::double / w_left as lev from o),
+f as (select *, cap <= w * lev as full_ from v),
+t as (select source, source_size, case when full_ then cap::double else w * max(case when not full_ then lev end) over () end as target from f),
+e as (select *, case when source_size > 0 then floor(target / source_size) else 0 end::bigint as epochs from t),
+r as (select *, floor(target)::bigint - epochs * source_size as rest from e),
+p as (select k.*, r.source_size, r.target, r.epochs, r.rest, sum(size) over (partition by k.source order by key, doc_id rows between unbounded preceding and current row) - size as before
+    from k join r on k.source is not distinct from r.source)
+select doc_id, source, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::bigint as taken from p
+"""
+
+
+def _bucket(v: str) -> str:
+    return f"({v} // pow(2, greatest(length(bin({v})) - 5, 0))::bigint) * pow(2, greatest(length(bin({v})) - 5, 0))::bigint"
+
+
+def _fence(least: int) -> str:
+    return f"greatest(hi + 3 * (hi - mid), {least})"
+
+
+OP6 = rf"""
+with d as (select doc_id, lang, source, coalesce(text, '') as t, {_SPACE_WORDS} as w from documents),
+wins as (select doc_id, p, array_to_string(w[p : p + 7], ' ') as win from (select doc_id, w, unnest(range(1, len(w) - 6)) as p from d)),
+again as (select doc_id, p from wins qualify count(*) over (partition by doc_id, win) > 1),
+reps as (select doc_id, count(distinct p + k) as n from again, range(0, 8) as x(k) group by doc_id),
+lines as (select doc_id, count(*) - count(distinct line) as n from (select doc_id, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
+f as (select d.doc_id, lang, source, len(w)::bigint as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, coalesce(lines.n, 0)::bigint as n_dup_lines, coalesce(reps.n, 0)::bigint as n_repeat_words
+  from d left join reps using (doc_id) left join lines using (doc_id)),
+g as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, n_symbols * 1000 // greatest(n_words, 1) as v1, word_chars * 1000 // greatest(n_words, 1) as v2 from f),
+b as (select lang, source, 1 as feature, {_bucket("v1")} as b from g where not base_failed union all select lang, source, 2, {_bucket("v2")} from g where not base_failed),
+levels as (select 0 as lev, lang, source, feature, b from b union all select 1, lang, null, feature, b from b union all select 2, null, null, feature, b from b),
+cum as (select lev, lang, source, feature, b, sum(count(*)) over (partition by lev, lang, source, feature order by b) as seen, sum(count(*)) over (partition by lev, lang, source, feature) as total
+  from levels group by lev, lang, source, feature, b),
+q as (select lev, lang, source, feature, max(total) as total, min(b) filter (seen >= total * 0.75) as hi, min(b) filter (seen >= total * 0.5) as mid from cum group by lev, lang, source, feature),
+fences as (select lev, lang, source, max(total) as total, max(case when feature = 1 then {_fence(100)} end) as f1, max(case when feature = 2 then {_fence(9000)} end) as f2 from q group by lev, lang, source),
+pick as (select a.lang, a.source, case when a.total >= 50 then a.f1 when l.total >= 50 then l.f1 else x.f1 end as f1, case when a.total >= 50 then a.f2 when l.total >= 50 then l.f2 else x.f2 end as f2
+  from fences a join fences l on l.lev = 1 and l.lang is not distinct from a.lang join fences x on x.lev = 2 where a.lev = 0)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and coalesce(v1 <= f1, true) and coalesce(v2 <= f2, true) as kept
+from g left join pick on g.lang is not distinct from pick.lang and g.source is not distinct from pick.source
+"""
+
+SQL: dict[str, str] = {
+    "op1_line_dedup": OP1,
+    "op2_decontamination": OP2,
+    "op3_secret_scan": OP3,
+    "op5_source_mixing": OP5,
+    "op6_quality_rules": OP6,
+}
