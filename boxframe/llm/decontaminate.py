@@ -92,7 +92,8 @@ def occurrences(hits: DataFrame, windows: DataFrame) -> DataFrame:
     first = F.col("at") - F.col("off")
     m = F.size("sids")
     met = met.where((F.col("pos") >= F.col("off")) & (first >= 0) & (first + m <= F.size("around")))
-    cover = F.slice("around", first + 1, m)
+    # Catalyst may compute the slice before the bounds are tested, so its start is kept valid.
+    cover = F.slice("around", F.greatest(first, F.lit(0)) + 1, m)
     met = met.withColumn("cover", cover).where((F.col("cover")[0].pos == F.col("pos") - F.col("off")) & (F.element_at("cover", -1).pos == F.col("pos") - F.col("off") + m - 1) & (F.transform("cover", lambda c: c.sid) == F.col("sids")))
     return met.select("doc_id", "th", "win_id", (F.col("pos") - F.col("off")).alias("start"), "n")
 
