@@ -246,14 +246,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, th, fp and component_id (the smallest doc_id reachable), one row per row of docs."""
+    """doc_id, th, fp, group (a fingerprint of the component) and component_id (the smallest doc_id reachable), one row per row of docs."""
     rows = stored(fingerprints(docs.select("doc_id", "text")), "fingerprints")
     least = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     comp = stored(components(link(least.select("fp"))), "components")
     # Only points with a link take part in the join of components; all others keep their own least doc_id.
-    named = least.join(broadcast_if_small(comp, 200_000), least.fp == comp.node, "left").select("fp", "least", "root")
-    ids = named.where("root is not null").groupBy("root").agg(F.min("least").alias("of_root"))
-    named = named.join(ids, "root", "left").select(F.col("fp").alias("__bf_fp"), F.coalesce("of_root", "least").alias("component_id"))
+    ids = comp.join(least, comp.node == least.fp).groupBy("root").agg(F.min("least").alias("of_root"))
+    comp = stored(comp.join(broadcast_if_small(stored(ids, "ids"), 200_000), "root"), "named")
+    named = least.join(broadcast_if_small(comp, 200_000), least.fp == comp.node, "left")
+    named = named.select(F.col("fp").alias("__bf_fp"), F.coalesce("root", "fp").alias("group"), F.coalesce("of_root", "least").alias("component_id"))
     return rows.join(named, F.col("fp") == F.col("__bf_fp"), "left").drop("__bf_fp")
 
 
@@ -264,9 +265,7 @@ def digest(found: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame) -> DataFrame:
     """docs with one row of each group, the one with the smallest doc_id, then text hash; all columns as given."""
     found = stored(classes(docs), "classes")
-    # A component without any doc_id is told by its fingerprint.
-    group = F.when(F.col("component_id").isNull(), F.col("fp")).alias("g")
-    best = found.groupBy("component_id", group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("m"))
+    best = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("m"))
     best = stored(best.select(F.col("m.doc_id").alias("__bf_d"), F.col("m.th").alias("__bf_t")).distinct(), "representatives")
     out = docs.withColumn("__bf_th", text_hash(F.col("text"))).join(best, F.col("doc_id").eqNullSafe(F.col("__bf_d")) & (F.col("__bf_th") == F.col("__bf_t")), "left_semi")
     if found.count() > found.select("doc_id", "th").distinct().count():
