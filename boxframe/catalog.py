@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .operators import domains, evidence, geometry, hypotheses, scoring, sieve
 from .functions import casts
 from .plans.oracle_ctes import sql
+from .plans.store import stored
 from .schema import CELL_KEY, PAGE_KEY, ROW_KEY
 from .sources import detect as detection
 from .sources import grid, text
@@ -306,7 +307,7 @@ def clean_tokens(s: SparkSession, d: str) -> DataFrame:
 
 
 def wide(s: SparkSession, d: str) -> DataFrame:
-    return evidence.wide(geometry.document_cells(report(s, d)))
+    return stored(evidence.wide(stored(geometry.document_cells(report(s, d)), "cells")), "wide")
 
 
 @query(sql(f"select {KEY}, round(x_frac, 6) as x_frac, round(y_frac, 6) as y_frac, round(w_frac, 6) as w_frac, y_frac < 0.1 as is_top_10pct, y_frac > 0.9 as is_bottom_10pct from pos", ["pos"]))
@@ -441,7 +442,7 @@ def fnv1a(s: SparkSession, d: str) -> DataFrame:
 
 
 def featured(s: SparkSession, d: str) -> DataFrame:
-    return scoring.features(typed(s, d))
+    return stored(scoring.features(stored(typed(s, d), "typed")), "features")
 
 
 @query(sql(f"select {KEY}, {', '.join(scoring.FEATURES)} from features", ["features"]))
@@ -456,7 +457,7 @@ def role_scores(s: SparkSession, d: str) -> DataFrame:
 
 @query(sql("select * from win", ["win"]))
 def winning_tag(s: SparkSession, d: str) -> DataFrame:
-    return scoring.winning_tags(scoring.role_scores(featured(s, d)))
+    return scoring.winning_tags(stored(scoring.role_scores(featured(s, d)), "scores"))
 
 
 @query(
@@ -467,7 +468,7 @@ def winning_tag(s: SparkSession, d: str) -> DataFrame:
 )
 def role_argmax(s: SparkSession, d: str) -> DataFrame:
     f = featured(s, d)
-    return scoring.assign(f, scoring.role_scores(f)).select(*CELL_KEY, "winning_tag", "role", "confidence")
+    return scoring.assign(f, stored(scoring.role_scores(f), "scores")).select(*CELL_KEY, "winning_tag", "role", "confidence")
 
 
 _HAS = lambda i: f"list_contains(p, {i})"
@@ -503,13 +504,13 @@ _ROLES = f"""ro as materialized (select {KEY}, c.x, c.y, c.text, coalesce(b.hypo
 
 @query(sql(f"select {KEY}, hypothesis, detail, rule as constraint_name from (with {_BAD} select * from bad)", ["scoped", "aligned"]))
 def constraint_violations(s: SparkSession, d: str) -> DataFrame:
-    return hypotheses.violations(hypotheses.generate(wide(s, d))).withColumnRenamed("constraint", "constraint_name")
+    return hypotheses.violations(stored(hypotheses.generate(wide(s, d)), "hypotheses")).withColumnRenamed("constraint", "constraint_name")
 
 
 @query(sql(f"select {KEY}, x, y, text, role, detail, net from (with {_BAD}, {_ROLES} select * from ro)", ["scoped", "aligned", "cells"]))
 def roles_greedy(s: SparkSession, d: str) -> DataFrame:
     w = wide(s, d)
-    return hypotheses.resolve(hypotheses.generate(w), w)
+    return hypotheses.resolve(stored(hypotheses.generate(w), "hypotheses"), w)
 
 
 @query(
@@ -522,7 +523,7 @@ left join (select doc_id, page_id, row_cluster, arg_min(text, x) as row_label fr
 )
 def treemap_paths(s: SparkSession, d: str) -> DataFrame:
     w = wide(s, d)
-    return hypotheses.paths(hypotheses.resolve(hypotheses.generate(w), w), w)
+    return hypotheses.paths(stored(hypotheses.resolve(stored(hypotheses.generate(w), "hypotheses"), w), "roles"), w)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,34 +22,40 @@ def _n(*flags: Column) -> Column:
     return reduce(lambda a, b: a + b, [F.coalesce(f, F.lit(False)).cast("int") for f in flags])
 
 
-def _hypothesis(c: DataFrame, name: str, where: Column, support: Column, against: Column, detail: Column) -> DataFrame:
-    out = c.where(where).select(*CELL_KEY, F.lit(name).alias("hypothesis"), detail.cast("string").alias("detail"), support.cast("int").alias("support"), against.cast("int").alias("against"))
-    return out
+def _hypothesis(name: str, where: Column, support: Column, against: Column, detail: Column) -> Column:
+    return F.when(where, F.struct(F.lit(name).alias("hypothesis"), detail.cast("string").alias("detail"), support.cast("int").alias("support"), against.cast("int").alias("against")))
 
 
 def generate(wide: DataFrame) -> DataFrame:
-    """All hypotheses of all cells with a probe hit: support and against count the evidence."""
-    c = probes(wide)
+    """All hypotheses of all cells with a probe hit: support and against count the evidence.
+
+    A cell's hypotheses are built in one projection and exploded, so the cells are read once.
+    """
+    row = Window.partitionBy(*ROW_KEY)
+    order = row.orderBy("x", "cell_id")
+    c = wide.withColumns({"__n": F.count("*").over(row), "__i": F.row_number().over(order), "__label": F.lag("text").over(order)})
+    over = column_alignment(wide).groupBy(*CELL_KEY).agg(F.array_sort(F.collect_set("col_id")).alias("__cols"))
+    c = probes(c).join(over, CELL_KEY, "left")
     numeric, bold, rare, dominant = _has(0), _has(100), _has(103), _has(102)
     top, bottom, left, table, above, subtends, data, repeated = (_has(i) for i in (200, 201, 202, 203, 204, 205, 206, 300))
-    none = F.lit(0)
-    chrome = _hypothesis(c, "chrome", repeated | (rare & (top | bottom)), _n(repeated) * 3 + _n(rare, top, bottom), _n(table), F.col("text")).where("support > against")
-    over = column_alignment(wide).select(*CELL_KEY, "col_id")
-    header = _hypothesis(c.join(over, CELL_KEY), "col_header", subtends & above, 2 + _n(~numeric), _n(numeric), F.col("col_id"))
-    section = _hypothesis(c, "section_label", (bold | rare) & left & ~numeric, _n(bold, rare, left), _n(numeric, data), F.col("indent_level"))
-    total = _hypothesis(c, "total_label", bold & left & data & ~numeric, F.lit(3), none, F.lit(None))
-    row = _hypothesis(c, "row_label", left & data & ~numeric, F.lit(2), none, F.lit(None))
-    measure = _hypothesis(c, "measure", numeric, _n(numeric, table, subtends), none, F.col("type"))
-    first = over.groupBy(*CELL_KEY).agg(F.min("col_id").alias("col_id"))
-    dimension = _hypothesis(c.join(first, CELL_KEY, "left"), "dimension", table & data & ~numeric & ~left, _n(table, subtends) + 1, _n(left, bold), F.col("col_id"))
-    pair = Window.partitionBy(*ROW_KEY)
-    two = wide.withColumns({"__n": F.count("*").over(pair), "__i": F.row_number().over(pair.orderBy("x", "cell_id")), "__label": F.lag("text").over(pair.orderBy("x", "cell_id"))}).where("__n = 2")
-    fields = probes(two)
-    support, against = 2 + _n(~table), _n(data) * 2
-    label = _hypothesis(fields, "field_label", F.col("__i") == 1, support, against, F.lit(None))
-    value = _hypothesis(fields, "field_value", F.col("__i") == 2, support, against, F.col("__label"))
-    prose = _hypothesis(c, "prose", F.lit(True), 1 + _n(dominant, ~numeric), _n(numeric, data), F.lit(None))
-    return reduce(DataFrame.unionByName, [chrome, header, section, total, row, measure, dimension, label, value, prose])
+    none, null = F.lit(0), F.lit(None)
+    column = F.get("__cols", F.lit(0))
+    chrome_for, chrome_against = _n(repeated) * 3 + _n(rare, top, bottom), _n(table)
+    fields = F.col("__n") == 2
+    field = 2 + _n(~table), _n(data) * 2
+    single = F.array(
+        _hypothesis("chrome", (repeated | (rare & (top | bottom))) & (chrome_for > chrome_against), chrome_for, chrome_against, F.col("text")),
+        _hypothesis("section_label", (bold | rare) & left & ~numeric, _n(bold, rare, left), _n(numeric, data), F.col("indent_level")),
+        _hypothesis("total_label", bold & left & data & ~numeric, F.lit(3), none, null),
+        _hypothesis("row_label", left & data & ~numeric, F.lit(2), none, null),
+        _hypothesis("measure", numeric, _n(numeric, table, subtends), none, F.col("type")),
+        _hypothesis("dimension", table & data & ~numeric & ~left, _n(table, subtends) + 1, _n(left, bold), column),
+        _hypothesis("field_label", fields & (F.col("__i") == 1), *field, null),
+        _hypothesis("field_value", fields & (F.col("__i") == 2), *field, F.col("__label")),
+        _hypothesis("prose", F.lit(True), 1 + _n(dominant, ~numeric), _n(numeric, data), null),
+    )
+    header = F.transform(F.coalesce("__cols", F.array().cast("array<bigint>")), lambda k: _hypothesis("col_header", subtends & above, 2 + _n(~numeric), _n(numeric), k))
+    return c.select(*CELL_KEY, F.inline(F.filter(F.concat(single, header), lambda h: h.isNotNull())))
 
 
 def violations(hyp: DataFrame) -> DataFrame:
