@@ -537,3 +537,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+from . import catalog_io  # noqa: E402, F401  registers its queries
