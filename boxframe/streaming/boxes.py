@@ -32,6 +32,6 @@ def latest(feed: DataFrame) -> DataFrame:
 
 def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str):
     """Starts appending the boxes of new files of a folder; a file's path hash is its doc_id."""
-    files = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", 1000).load(folder).select(F.xxhash64("path").alias("doc_id"), "content")
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", 1000).load(folder).select(F.xxhash64("path").alias("doc_id"), "content")
     boxes = documents.table(documents.parse(files), "bboxes")
     return boxes.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
