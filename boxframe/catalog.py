@@ -539,4 +539,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-from . import catalog_io  # noqa: E402, F401  registers its queries
+from . import catalog_io, catalog_more  # noqa: E402, F401  register their queries
