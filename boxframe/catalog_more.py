@@ -123,7 +123,7 @@ def domain_token_variants(s: SparkSession, d: str) -> DataFrame:
     return domains.suffix_variants(t, ["ing", "s"]).groupBy("doc_id", "variant").agg(F.count("*").alias("n"))
 
 
-@query("select n_regionkey as doc_id, 0 as page_id, c as x, (row_number() over (partition by n_regionkey order by n_nationkey) + 1)::int as y, 1 as w, 1 as h, case when c = 1 then n_nationkey::varchar else n_name end as text from nation, (values (1), (2)) as t(c) union all select distinct n_regionkey, 0, 1, 1, 2, 1, 'Nations' from nation")
+@query("select n_regionkey as doc_id, 0 as page_id, c as x, (dense_rank() over (partition by n_regionkey order by n_nationkey) + 1)::int as y, 1 as w, 1 as h, case when c = 1 then n_nationkey::varchar else n_name end as text from nation, (values (1), (2)) as t(c) union all select distinct n_regionkey, 0, 1, 1, 2, 1, 'Nations' from nation")
 def sheet_json_boxes(s: SparkSession, d: str) -> DataFrame:
     """Nested sheets of nations per region, with a merged title, to boxes."""
     cell = lambda c: F.struct(c.cast("string").alias("formattedValue"))

@@ -98,7 +98,9 @@ def role_scores(featured: DataFrame) -> DataFrame:
 def winning_tags(scores: DataFrame) -> DataFrame:
     """Per document the tag with the highest mean best score, to two decimals; of equals the first by name."""
     best = scores.groupBy(*CELL_KEY, "active_tag").agg(F.max("score").alias("best"))
-    mean = best.groupBy("doc_id", "active_tag").agg(F.round(F.avg("best"), 2).alias("mean_score"))
+    # Weights are tenths: sums of tenths are exact, so that equal means are equal in any order of addition.
+    tenths, n = F.sum(F.round(F.col("best") * 10).cast("long")), F.count("*")
+    mean = best.groupBy("doc_id", "active_tag").agg((F.floor((tenths * 20 + n) / (n * 2)) / 100).alias("mean_score"))
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("mean_score").desc(), "active_tag"))
     return mean.withColumn("__r", first).where("__r = 1").drop("__r")
 

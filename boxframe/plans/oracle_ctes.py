@@ -85,7 +85,7 @@ left join (select distinct doc_id, page_id, row_cluster, cell_id from above) s u
     ),
     "long": (["features"], "select doc_id, page_id, row_cluster, cell_id, feature, val from features unpivot (val for feature in (f_pattern_match, f_in_table, f_subtends_col, f_row_above_data, f_in_data_region, f_bold, f_rare_style, f_leftmost, f_no_measures_in_row, f_cell_count_match, f_large_font, f_year_text))"),
     "scores": (["long", "weights"], "select l.doc_id, page_id, row_cluster, cell_id, t.tag as active_tag, role, round(sum(weight), 6) as score from long l join weights w on l.feature = w.feature and l.val = w.val join (select distinct tag from weights) t on w.tag = 'default' or w.tag = t.tag group by all"),
-    "win": (["scores"], "select doc_id, active_tag, mean_score from (select doc_id, active_tag, round(avg(b), 2) as mean_score from (select doc_id, page_id, row_cluster, cell_id, active_tag, max(score) as b from scores group by all) group by all) qualify row_number() over (partition by doc_id order by mean_score desc, active_tag) = 1"),
+    "win": (["scores"], "select doc_id, active_tag, mean_score from (select doc_id, active_tag, floor((sum(round(b * 10)::bigint) * 20 + count(*))::double / (count(*) * 2)) / 100 as mean_score from (select doc_id, page_id, row_cluster, cell_id, active_tag, max(score) as b from scores group by all) group by all) qualify row_number() over (partition by doc_id order by mean_score desc, active_tag) = 1"),
     "wide_scores": (
         ["features", "scores", "win"],
         """select f.*, a.active_tag as winning_tag, coalesce(s1, 0) as s1, coalesce(s2, 0) as s2, coalesce(s3, 0) as s3, coalesce(s4, 0) as s4, coalesce(s5, 0) as s5, greatest(coalesce(s1, 0), coalesce(s2, 0), coalesce(s3, 0), coalesce(s4, 0), coalesce(s5, 0)) as best
