@@ -45,7 +45,8 @@ def later(docs: DataFrame, lines: int = LINES) -> DataFrame:
 def dedup(docs: DataFrame, lines: int = LINES) -> DataFrame:
     """docs with text shortened, and n_lines and n_removed (long)."""
     spans = stored(later(docs, lines).withColumnsRenamed({"id": "__bf_id", "th": "__bf_th", "pos": "__bf_pos"}), "later")
-    rows = docs.join(broadcast_if_small(spans, 100_000), F.col("doc_id").eqNullSafe(F.col("__bf_id")) & (text_hash(F.col("text")) == F.col("__bf_th")), "left")
+    # Rows of spans are as long as their documents, so nothing bounds a broadcast: both sides are always merged.
+    rows = docs.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__bf_id")) & (text_hash(F.col("text")) == F.col("__bf_th")), "left")
     # The sorted positions become merged stretches, which are cut from the array of lines.
     merged = F.aggregate(
         "__bf_pos",
