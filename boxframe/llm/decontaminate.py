@@ -24,7 +24,7 @@ WINDOW = 10
 SHINGLE = 3
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Benchmark shingles and windows beyond these are shuffled instead of broadcast.
-MAX_BROADCAST_SHINGLES = 2_000_000
+MAX_BROADCAST_SHINGLES = 500_000
 
 
 def words(text: Column) -> Column:

@@ -209,7 +209,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     hot = stored(sizes.where(F.col("m") > HOT).select("key"), "hot")
     wanted = each.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "lo", "n", "multi")).alias("rows"))
     wanted = wanted.withColumnsRenamed({"doc_id": "__bf_d", "th": "__bf_t"})
-    found = texts.join(broadcast_if_small(stored(wanted, "wanted"), 2_000), F.col("doc_id").eqNullSafe(F.col("__bf_d")) & (F.col("th") == F.col("__bf_t")))
+    found = texts.join(stored(wanted, "wanted").hint("merge"), F.col("doc_id").eqNullSafe(F.col("__bf_d")) & (F.col("th") == F.col("__bf_t")))
     cut = F.transform("rows", lambda r: F.struct(r.key.alias("key"), r.lo.alias("lo"), r.multi.alias("multi"), F.substring(F.col("bytes"), (r.lo + 1).cast("int"), r.n + MIN - 1).alias("bytes")))
     found = stored(found.select("doc_id", "th", F.inline(cut)), "cut")
 
@@ -257,7 +257,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     per = repeated(docs).groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "n")).alias("runs"))
     per = stored(per.withColumnsRenamed({"doc_id": "__bf_d", "th": "__bf_t"}), "runs")
-    rows = _documents(docs).join(broadcast_if_small(per, 2_000), F.col("doc_id").eqNullSafe(F.col("__bf_d")) & (F.col("th") == F.col("__bf_t")), "left")
+    rows = _documents(docs).join(per.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__bf_d")) & (F.col("th") == F.col("__bf_t")), "left")
     return rows.select("doc_id", "bytes", "runs").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
