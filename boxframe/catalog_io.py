@@ -75,12 +75,12 @@ def bboxes_json(s: SparkSession, d: str) -> DataFrame:
     return a.select("doc_id", F.size("a").alias("n"), F.col("a")[0].text.alias("first_text"), F.col("a")[0].y.alias("first_y"), F.element_at("a", -1).text.alias("last_text"))
 
 
-@query(sql("select doc_id, x, y, w, h, text from boxes where page_id = 0", ["boxes"]))
+@query(sql("select doc_id, page_id, x, y, w, h, text from boxes", ["boxes"]))
 def columnar_json(s: SparkSession, d: str) -> DataFrame:
     """Round trip through columnar JSON."""
-    b = report(s, d).where("page_id = 0")
-    j = json_sink.columnar(b, "doc_id", ("x", "y", "w", "h", "text"))
-    return json_sink.from_columnar(j, {"x": "double", "y": "double", "w": "double", "h": "double", "text": "string"}).select("doc_id", "x", "y", "w", "h", "text")
+    b = report(s, d).withColumn("page", F.struct("doc_id", "page_id"))
+    j = json_sink.columnar(b, "page", ("x", "y", "w", "h", "text"))
+    return json_sink.from_columnar(j, {"x": "double", "y": "double", "w": "double", "h": "double", "text": "string"}).select("page.*", "x", "y", "w", "h", "text")
 
 
 _E = "replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
@@ -140,13 +140,14 @@ _NORM = r"regexp_replace(lower(trim(text)), '[^\p{L}\p{N}.%-]+', '', 'g')"
 @query(
     sql(
         f"select doc_id, count(f) as found, count(g) as truth, sum(case when f = 1 and g = 1 then 1 else 0 end)::bigint as both, round(sum(case when f = 1 and g = 1 then 1 else 0 end) / nullif(count(f), 0), 4) as precision, round(sum(case when f = 1 and g = 1 then 1 else 0 end) / nullif(count(g), 0), 4) as recall"
-        f" from (select distinct doc_id, {_NORM} as t, 1 as f from cells) a full join (select distinct doc_id, {_NORM} as t, 1 as g from boxes where ord % 3 <> 0) b using (doc_id, t) where t <> '' group by doc_id",
+        f" from (select distinct doc_id, {_NORM} as t, 1 as f from cells) a full join (select distinct doc_id, {_NORM} as t, 1 as g from boxes where style_id <> 2) b using (doc_id, t) where t <> '' group by doc_id",
         ["cells"],
     )
 )
 def text_agreement(s: SparkSession, d: str) -> DataFrame:
+    """Cells against boxes without the header rows."""
     b = report(s, d)
-    return evaluate.text_agreement(geometry.document_cells(b), b.where("ord % 3 <> 0"), ["doc_id"])
+    return evaluate.text_agreement(geometry.document_cells(b), b.where("style_id <> 2"), ["doc_id"])
 
 
 # -- relational forms -----------------------------------------------------------------------------

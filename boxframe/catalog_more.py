@@ -13,10 +13,10 @@ from .schema import CELL_KEY, PAGE_KEY, ROW_KEY
 from .sources import text
 
 
-@query(sql("select doc_id, page_id, x * 6 as x, y, w * 6 as w, h, text, style_id from (select *, length(text) as n from word_boxes where length(text) = strlen(text))", ["word_boxes"]))
+@query(sql("select doc_id, page_id, x * 6 as x, y, (length(text) * 6)::double as w, h, text, style_id from word_boxes", ["word_boxes"]))
 def pdf_char_runs(s: SparkSession, d: str) -> DataFrame:
-    """Characters of ASCII words, six units wide, coalesced to words again."""
-    w = text.words(docs(s, d)).where("length(text) = octet_length(text)")
+    """Characters of words, six units wide, coalesced to words again."""
+    w = text.words(docs(s, d))
     c = w.select("doc_id", "page_id", "ord", "x", "y", "h", "style_id", "font_size", F.posexplode(F.filter(F.split("text", ""), lambda c: c != "")).alias("i", "ch"))
     c = c.select("doc_id", "page_id", (F.col("ord") + F.col("i")).alias("ord"), ((F.col("x") + F.col("i")) * 6).alias("x"), "y", F.lit(6.0).alias("w"), "h", "ch", "style_id", "font_size")
     return sequential.char_runs(c).drop("ord")
