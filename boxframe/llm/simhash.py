@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, broadcast_if_small, ship, space_words, stored, text_hash
@@ -71,14 +71,18 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "th")), pa.array(fp)], ["doc_id", "th", "fp"])
 
 
+def shingles(w: str, k: int) -> Column:
+    """The hashes of the k-word shingles of the words in column w; a text of fewer words is one shingle."""
+    run = lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(w, i + j) for j in range(k)]))
+    n = F.size(w)
+    whole = F.when(n > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), run)).otherwise(whole)
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, th (the text's hash) and fp (the fingerprint as a signed long), one row per row of docs."""
     w = docs.select("doc_id", text_hash(F.col("text")).alias("th"), space_words(ascii_lower(F.col("text"))).alias("w"))
-    run = lambda i: F.xxhash64(F.concat_ws(" ", *[F.get("w", i + k) for k in range(SHINGLE)]))
-    n = F.size("w")
-    whole = F.when(n > 0, F.array(F.xxhash64(F.array_join("w", " ")))).otherwise(F.array().cast("array<bigint>"))
-    h = F.when(n >= SHINGLE, F.transform(F.sequence(F.lit(0), n - SHINGLE), run)).otherwise(whole)
-    return w.select("doc_id", "th", h.alias("__bf_h")).mapInArrow(_fingerprint_batches, "doc_id long, th long, fp long")
+    return w.select("doc_id", "th", shingles("w", SHINGLE).alias("__bf_h")).mapInArrow(_fingerprint_batches, "doc_id long, th long, fp long")
 
 
 # -- vantage-point trees --------------------------------------------------------------------------
@@ -262,9 +266,9 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group, the one with the smallest doc_id, then text hash; all columns as given."""
-    found = stored(classes(docs), "classes")
+def representatives(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """docs with one row of each group of found (default: classes), the one with the smallest doc_id, then text hash; all columns as given."""
+    found = stored(classes(docs) if found is None else found, "classes")
     best = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("m"))
     best = stored(best.select(F.col("m.doc_id").alias("__bf_d"), F.col("m.th").alias("__bf_t")).distinct(), "representatives")
     out = docs.withColumn("__bf_th", text_hash(F.col("text"))).join(best, F.col("doc_id").eqNullSafe(F.col("__bf_d")) & (F.col("__bf_th") == F.col("__bf_t")), "left_semi")
