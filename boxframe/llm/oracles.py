@@ -76,11 +76,24 @@ select doc_id, source, size, source_size, target, (epochs * size + greatest(0, l
 
 
 def _bucket(v: str) -> str:
-    return f"({v} // pow(2, greatest(length(bin({v})) - 5, 0))::bigint) * pow(2, greatest(length(bin({v})) - 5, 0))::bigint"
+    return f"({v} // pow(2, greatest(length(bin({v})) - 8, 0))::bigint) * pow(2, greatest(length(bin({v})) - 8, 0))::bigint"
 
 
-def _fence(least: int) -> str:
-    return f"greatest(hi + 3 * (hi - mid), {least})"
+def _reach(k: int, unit: str) -> str:
+    """The fences of rate k: five spreads outside the quartiles."""
+    q = lambda n: f"max(case when feature = {k} then q{n} end)"
+    reach = f"5 * greatest({q(3)} - {q(1)}, {unit})"
+    return f"{q(3)} + {reach} as hi{k}, {q(1)} - {reach} as lo{k}"
+
+
+def _median(feature: int) -> str:
+    return f"greatest(max(case when feature = {feature} then q2 end), 1)"
+
+
+def _pick(c: str) -> str:
+    wide = f"case when l.total >= 50 then l.{c} else x.{c} end"
+    own = f"least(a.{c}, 3 * {wide})" if c.startswith("hi") else f"a.{c}"
+    return f"case when a.total >= 50 then {own} else {wide} end as {c}"
 
 
 OP6 = rf"""
@@ -88,21 +101,23 @@ with d as (select doc_id, lang, source, coalesce(text, '') as t, {_SPACE_WORDS}
 wins as (select doc_id, p, array_to_string(w[p : p + 7], ' ') as win from (select doc_id, w, unnest(range(1, len(w) - 6)) as p from d)),
 again as (select doc_id, p from wins qualify count(*) over (partition by doc_id, win) > 1),
 reps as (select doc_id, count(distinct p + k) as n from again, range(0, 8) as x(k) group by doc_id),
-lines as (select doc_id, count(*) - count(distinct line) as n from (select doc_id, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
+lines as (select doc_id, count(*) as lines, count(*) - count(distinct line) as n from (select doc_id, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
 f as (select d.doc_id, lang, source, len(w)::bigint as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
-    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, coalesce(lines.n, 0)::bigint as n_dup_lines, coalesce(reps.n, 0)::bigint as n_repeat_words
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, coalesce(lines.n, 0)::bigint as n_dup_lines, coalesce(lines.lines, 0)::bigint as lines, coalesce(reps.n, 0)::bigint as n_repeat_words
   from d left join reps using (doc_id) left join lines using (doc_id)),
-g as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, n_symbols * 1000 // greatest(n_words, 1) as v1, word_chars * 1000 // greatest(n_words, 1) as v2 from f),
-b as (select lang, source, 1 as feature, {_bucket("v1")} as b from g where not base_failed union all select lang, source, 2, {_bucket("v2")} from g where not base_failed),
+g as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, n_symbols * 1000 // greatest(n_words, 1) as v1, word_chars * 1000 // greatest(n_words, 1) as v2,
+    n_dup_lines * 1000 // greatest(lines, 1) as v3, n_repeat_words * 1000 // greatest(n_words, 1) as v4 from f),
+v as (select lang, source, unnest([1, 2, 3, 4, 5, 6]) as feature, unnest([v1, v2, v3, v4, n_words, lines]) as v from g where not base_failed),
+b as (select lang, source, feature, {_bucket("v")} as b from v),
 levels as (select 0 as lev, lang, source, feature, b from b union all select 1, lang, null, feature, b from b union all select 2, null, null, feature, b from b),
 cum as (select lev, lang, source, feature, b, sum(count(*)) over (partition by lev, lang, source, feature order by b) as seen, sum(count(*)) over (partition by lev, lang, source, feature) as total
   from levels group by lev, lang, source, feature, b),
-q as (select lev, lang, source, feature, max(total) as total, min(b) filter (seen >= total * 0.75) as hi, min(b) filter (seen >= total * 0.5) as mid from cum group by lev, lang, source, feature),
-fences as (select lev, lang, source, max(total) as total, max(case when feature = 1 then {_fence(100)} end) as f1, max(case when feature = 2 then {_fence(9000)} end) as f2 from q group by lev, lang, source),
-pick as (select a.lang, a.source, case when a.total >= 50 then a.f1 when l.total >= 50 then l.f1 else x.f1 end as f1, case when a.total >= 50 then a.f2 when l.total >= 50 then l.f2 else x.f2 end as f2
+q as (select lev, lang, source, feature, max(total) as total, min(b) filter (seen >= total * 0.25) as q1, min(b) filter (seen >= total * 0.5) as q2, min(b) filter (seen >= total * 0.75) as q3 from cum group by lev, lang, source, feature),
+fences as (select lev, lang, source, max(total) as total, {_reach(1, f"1000 // {_median(5)}")}, {_reach(2, "max(case when feature = 2 then q2 end) // 32")}, {_reach(3, f"1000 // {_median(6)}")}, {_reach(4, f"16000 // {_median(5)}")} from q group by lev, lang, source),
+pick as (select a.lang, a.source, {", ".join(_pick(f"{end}{k}") for k in (1, 2, 3, 4) for end in ("hi", "lo"))}
   from fences a join fences l on l.lev = 1 and l.lang is not distinct from a.lang join fences x on x.lev = 2 where a.lev = 0)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and coalesce(v1 <= f1, true) and coalesce(v2 <= f2, true) as kept
+  not base_failed and {" and ".join(f"coalesce(v{k} between lo{k} and hi{k}, true)" for k in (1, 2, 3, 4))} as kept
 from g left join pick on g.lang is not distinct from pick.lang and g.source is not distinct from pick.source
 """
 

@@ -32,11 +32,29 @@ def test_symbols_beyond_the_fence_are_rejected_and_prose_is_kept(spark):
     assert not got.pop(1000) and all(got.values())
 
 
+def test_groups_judge_the_same_text_by_their_own_distribution(spark):
+    """What is usual in a source of price lists is rejected in one of prose, below any fixed cutoff of old."""
+    prose = [(i, " ".join(f"word{i}x{k}" for k in range(100)), "en", "prose") for i in range(80)]
+    lists = [(100 + i, " ".join(f"word{i}x{k}" + "$" * (k % 20 < i % 4) for k in range(100)), "en", "lists") for i in range(80)]
+    same = " ".join(f"word40x{k}" + "$" * (k % 20 < 2) for k in range(100))
+    long_words = " ".join(f"{'x' * 12}{k}" for k in range(100))
+    odd = [(1000, same, "en", "prose"), (1001, same, "en", "lists"), (1002, long_words, "en", "prose"), (1003, "\n".join(["the same line again"] * 40 + [f"line {i}" for i in range(3)]), "en", "prose")]
+    got = {x.doc_id: x.kept for x in quality_rules.judge(spark.createDataFrame(prose + lists + odd, "doc_id long, text string, lang string, source string")).collect()}
+    assert [got.pop(i) for i in (1000, 1001, 1002, 1003)] == [False, True, False, False] and all(got.values())
+
+
+def test_a_junk_source_cannot_raise_its_own_fence(spark):
+    clean = [(i, " ".join(f"word{i}x{k}" for k in range(100)), "en", "a") for i in range(200)]
+    junk = [(1000 + i, " ".join(f"w{i}x{k}" + "#" * (k % 100 < i) for k in range(100)), "en", "b") for i in range(60)]
+    got = {x.doc_id: x.kept for x in quality_rules.judge(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i] for i in range(200)) and not any(got[i] for i in range(1016, 1060))
+
+
 def test_sketches_merge(spark):
-    """Buckets are exact below 32 and within one sixteenth above."""
+    """Buckets are exact below 256 and within one part in 128 above."""
     df = spark.range(1, 100_000, 7).select("id", quality_rules.bucket(F.col("id")).alias("b"))
     for x in df.collect():
-        assert x.b <= x.id and (x.b == x.id if x.id < 32 else x.id - x.b < x.id / 16)
+        assert x.b <= x.id and (x.b == x.id if x.id < 256 else x.id - x.b < x.id / 128)
 
 
 def test_empty_table(spark):
