@@ -6,8 +6,10 @@ to the source's budget. A target of e whole epochs and a rest takes every docume
 key; the document in which the rest ends is taken in part.
 
 A source may hold a third of all rows, so no task sees a whole source: the keys are cut
-into ordered bins, whose number follows the rows, the bins' sums tell in which bin the rest ends, and only this
-bin's rows are prefix-summed to find the one place at which it ends. All documents are then
+into ordered bins, the bins' sums tell in which bin the rest ends, and only this
+bin's rows are prefix-summed to find the one place at which it ends. Bins are equal steps of the key's logarithm, whose
+density is at most 1/e for an exponential key of any weight: a bin of 1/n holds at most a share 1/(e n) of the documents,
+whatever their weights, and n follows the rows. All documents are then
 compared with their source's place, row by row, without a sort.
 
 Defined results: null text has size 0; null sources form the last source; ties in the key are broken by
@@ -71,41 +73,44 @@ def keyed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     return rows.withColumns({"__bf_key": key, "__bf_id": F.coalesce(F.col("doc_id"), F.lit(-(2**63))), "__bf_th": text_hash(F.col("text"))})
 
 
+def key_bin(key: Column, bins: int) -> Column:
+    return F.floor(F.log(key) * bins)
+
+
 def plan(narrow: DataFrame) -> DataFrame:
     """One row per source: source_size, target, whole epochs, and the place at which the rest ends.
 
     ``narrow`` has source, size and the place; it is read three times and should be stored.
     """
-    t = targets(narrow).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    t = stored(t.withColumn("rest", F.floor("target").cast("long") - F.col("epochs") * F.col("source_size")), "targets")
+    t = targets(narrow).withColumn("__bf_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    t = stored(t.withColumn("__bf_rest", F.floor("target").cast("long") - F.col("__bf_epochs") * F.col("source_size")), "targets")
     t = t.withColumnRenamed("source", "__bf_source")
     bins = max(MIN_BINS, narrow.count() // BIN_ROWS)
-    # 1 - exp(-key) lies in [0, 1] and keeps the order of the keys.
-    binned = narrow.withColumn("bin", F.floor((F.lit(1.0) - F.exp(-F.col("__bf_key"))) * bins))
+    binned = narrow.withColumn("bin", key_bin(F.col("__bf_key"), bins))
     cut = binned.groupBy("source", "bin").agg(F.sum("size").alias("n"))
     cut = cut.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("bin")) - F.col("n"))
     same = lambda a: F.col(a).eqNullSafe(F.col("__bf_source"))
-    hit = cut.join(broadcast_if_small(t, MAX_BROADCAST_SOURCES), same("source")).where((F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("n")))
-    hit = stored(hit.select("__bf_source", F.col("bin").alias("__bf_bin"), "before", "rest"), "bins")
+    hit = cut.join(broadcast_if_small(t, MAX_BROADCAST_SOURCES), same("source")).where((F.col("before") < F.col("__bf_rest")) & (F.col("__bf_rest") <= F.col("before") + F.col("n")))
+    hit = stored(hit.select("__bf_source", F.col("bin").alias("__bf_bin"), "before", "__bf_rest"), "bins")
     place = ["__bf_key", "__bf_id", "__bf_th"]
     rows = binned.join(broadcast_if_small(hit, MAX_BROADCAST_SOURCES), same("source") & (F.col("bin") == F.col("__bf_bin")))
     # Equal places are one entry, which its rows share evenly.
-    rows = rows.groupBy("__bf_source", "before", "rest", *place).agg(F.sum("size").alias("n"), F.count("*").alias("m"))
+    rows = rows.groupBy("__bf_source", "before", "__bf_rest", *place).agg(F.sum("size").alias("n"), F.count("*").alias("m"))
     upto = F.col("before") + F.sum("n").over(Window.partitionBy("__bf_source").orderBy(*place))
-    rows = rows.withColumn("upto", upto).where((F.col("upto") - F.col("n") < F.col("rest")) & (F.col("rest") <= F.col("upto")))
-    share = F.expr("(rest - (upto - n)) div m")
+    rows = rows.withColumn("upto", upto).where((F.col("upto") - F.col("n") < F.col("__bf_rest")) & (F.col("__bf_rest") <= F.col("upto")))
+    share = F.expr("(__bf_rest - (upto - n)) div m")
     ends = rows.select(F.col("__bf_source").alias("__bf_end"), F.struct(*place).alias("__bf_cut"), share.alias("__bf_share"))
     return stored(t.join(ends, F.col("__bf_source").eqNullSafe(F.col("__bf_end")), "left").drop("__bf_end"), "plan")
 
 
 def take(keyed_docs: DataFrame, plan: DataFrame) -> DataFrame:
     """Adds source_size, target and taken to keyed documents, row by row."""
-    out = keyed_docs.drop("source_size", "target", "taken", "epochs", "rest")
+    out = keyed_docs.drop("source_size", "target", "taken")
     out = out.join(broadcast_if_small(plan, MAX_BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("__bf_source")), "left")
     place = F.struct("__bf_key", "__bf_id", "__bf_th")
     part = F.when(F.col("__bf_cut").isNull() | (place > F.col("__bf_cut")), F.lit(0)).when(place < F.col("__bf_cut"), F.col("size")).otherwise(F.col("__bf_share"))
-    out = out.withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long"))
-    return out.drop("epochs", "rest", "__bf_source", "__bf_key", "__bf_id", "__bf_th", "__bf_cut", "__bf_share")
+    out = out.withColumn("taken", (F.col("__bf_epochs") * F.col("size") + part).cast("long"))
+    return out.drop("__bf_epochs", "__bf_rest", "__bf_source", "__bf_key", "__bf_id", "__bf_th", "__bf_cut", "__bf_share")
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:

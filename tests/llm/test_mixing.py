@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from boxframe.llm import mixing
 
@@ -66,3 +67,18 @@ def test_many_bins(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert mixing.mix(empty(spark)).count() == 0
+
+
+def test_bins_stay_small_whatever_the_weights(spark):
+    """Low weights push keys up; no bin may hold more than its share of them."""
+    for weight in (0.2, 1.0):
+        key = -F.log(mixing.uniform(F.col("id"), 5)) / weight
+        most = spark.range(50_000).groupBy(mixing.key_bin(key, 64).alias("b")).count().agg(F.max("count")).first()[0]
+        assert most < 1.3 * 50_000 / (2.718 * 64)
+
+
+def test_clashing_columns_stay(spark):
+    extra = ["epochs", "rest", "bin", "before", "n", "m", "upto", "key", "w", "cap", "level", "total"]
+    d = docs(spark).selectExpr("doc_id", "text", "source", *[f"'own' as {c}" for c in extra])
+    got = mixing.mix(d)
+    assert set(got.columns) == {*d.columns, "size", "source_size", "target", "taken"} and all(x[c] == "own" for x in got.collect() for c in extra)
