@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_if_small, ship, space_words, stored, text_hash
+from .common import ascii_lower, broadcast_if_small, discard, ship, space_words, stored, text_hash
 
 ship(__name__)
 
@@ -238,10 +238,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = stored(large.where("a > b").distinct(), "large")
+        large, before = stored(large.where("a > b").distinct(), "large"), e
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         e = stored(small.where("a > b").distinct(), "small")
+        discard(large, before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if tuple(now) == mark:
             break
@@ -267,8 +268,8 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """docs with one row of each group of found (default: classes), the one with the smallest doc_id, then text hash; all columns as given."""
-    found = stored(classes(docs) if found is None else found, "classes")
+    """docs with one row of each group of found (a stored table; default: classes), the one with the smallest doc_id, then text hash; all columns as given."""
+    found = stored(classes(docs), "classes") if found is None else found
     best = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("m"))
     best = stored(best.select(F.col("m.doc_id").alias("__bf_d"), F.col("m.th").alias("__bf_t")).distinct(), "representatives")
     out = docs.withColumn("__bf_th", text_hash(F.col("text"))).join(best, F.col("doc_id").eqNullSafe(F.col("__bf_d")) & (F.col("__bf_th") == F.col("__bf_t")), "left_semi")
