@@ -18,10 +18,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stored, text_hash
+from .common import small, stored, text_hash
 
 LINES = 3
 MAX_BROADCAST_WINDOWS = 200_000
+#: A window that occurs more often than this is hot.
+HOT_WINDOW = 10_000
 
 
 def windows(docs: DataFrame, lines: int = LINES) -> DataFrame:
@@ -36,12 +38,28 @@ def windows(docs: DataFrame, lines: int = LINES) -> DataFrame:
 def later(docs: DataFrame, lines: int = LINES) -> DataFrame:
     """id, th and pos: sorted positions of later occurrences, one row per document that has any."""
     w = windows(docs, lines)
-    first = w.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "pos")).alias("first"), F.max(F.struct("id", "th", "pos")).alias("last"))
-    repeated = stored(first.where("first < last").select("h1", "h2", "first"), "repeated_windows")
-    hits = w.join(broadcast_if_small(repeated, MAX_BROADCAST_WINDOWS), ["h1", "h2"]).where(F.struct("id", "th", "pos") > F.col("first"))
+    first = w.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "pos")).alias("first"), F.max(F.struct("id", "th", "pos")).alias("last"), F.count("*").alias("n"))
+    repeated = stored(first.where("first < last").select("h1", "h2", "first", "n"), "repeated_windows")
+    hits = occurrences(w, repeated).where(F.struct("id", "th", "pos") > F.col("first"))
     return hits.groupBy("id", "th").agg(F.array_sort(F.collect_set("pos")).alias("pos"))
 
 
+def occurrences(w: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The windows that are repeated (a stored table), with first.
+
+    Too many of them for a broadcast are merged; those that occur often are still broadcast, if they are few, so that the merge has
+    no hot key. They are at most one in HOT_WINDOW windows.
+    """
+    by, columns = ["h1", "h2"], ["id", "th", "pos", "first"]
+    if small(repeated, MAX_BROADCAST_WINDOWS):
+        return w.join(F.broadcast(repeated), by).select(columns)
+    hot = stored(repeated.where(F.col("n") > HOT_WINDOW), "hot_windows")
+    if not small(hot, MAX_BROADCAST_WINDOWS):
+        return w.join(repeated.hint("merge"), by).select(columns)
+    rest = w.join(F.broadcast(hot.select(by)), by, "left_anti").join(repeated.where(F.col("n") <= HOT_WINDOW).hint("merge"), by)
+    return w.join(F.broadcast(hot), by).select(columns).unionByName(rest.select(columns))
+
+
 def dedup(docs: DataFrame, lines: int = LINES) -> DataFrame:
     """docs with text shortened, and n_lines and n_removed (long)."""
     spans = stored(later(docs, lines).withColumnsRenamed({"id": "__bf_id", "th": "__bf_th", "pos": "__bf_pos"}), "later")

@@ -1,11 +1,16 @@
 from collections import Counter
 
+import pytest
+
 from boxframe.llm import line_dedup
 
 from .helpers import docs, empty, rows, table
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize(("bound", "hot"), [(200_000, 10_000), (1, 2), (1, 10_000), (-1, 2)])
+def test_against_brute_force(spark, monkeypatch, bound, hot):
+    monkeypatch.setattr(line_dedup, "MAX_BROADCAST_WINDOWS", bound)
+    monkeypatch.setattr(line_dedup, "HOT_WINDOW", hot)
     """Distinct (doc_id, text) pairs; where doc_ids are distinct the order is by doc_id alone."""
     data = [d for d in rows() if d[0] is not None and d[1] != "same id, other text"]
     seen, out = set(), {}
