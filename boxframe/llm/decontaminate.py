@@ -6,7 +6,7 @@ the shingles that the benchmark has at all. Their counts order the shingles by r
 a window must be contained wholly, the necessary prefix is its one rarest shingle: windows meet documents only there.
 Positional bounds (the window must begin at or after the text's first word) and length bounds (the
 document must have as many shingles around the meeting place as the window) follow, then the shingle
-sequence is compared word for word: shingles carry their text and equal ones have equal ids.
+sequence of shingles is compared, by 128-bit hashes of their words.
 
 Defined results: null has no words; a document without words is clean; items without words match nothing;
 items with null or repeated ids count as their distinct ids (a null id counts in no item list);
@@ -44,15 +44,19 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return items.select("item_id", at.alias("win")).distinct().withColumn("n", F.size("win"))
 
 
+def key(shingle: Column) -> list[Column]:
+    return [F.xxhash64(shingle).alias("h1"), F.xxhash64(F.lit(1), shingle).alias("h2")]
+
+
 def window_shingles(windows: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame, list[int]]:
-    """(win_id, n, shingles: their ids in order), (shingle, sid) and the shingle lengths in use."""
+    """(win_id, n, parts: their shingles in order), (h1, h2, k, sid) of the shingles, and the shingle lengths in use."""
     distinct = windows.select("win", "n").distinct().withColumn("k", F.least("n", F.lit(shingle)))
     # Ids are 128 bits of the words, so nothing has to be numbered.
     ident = lambda c: F.md5(c)
     parts = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("k")), lambda i: F.array_join(F.slice("win", i + 1, F.col("k")), " "))
     distinct = stored(distinct.select(ident(F.array_join("win", " ")).alias("win_id"), "n", "k", parts.alias("parts")), "windows")
-    shingles = stored(distinct.select(F.explode("parts").alias("shingle"), "k").distinct().withColumn("sid", F.xxhash64("shingle", F.lit(1))), "shingles")
-    # sids are 64-bit hashes; verification uses them only together with equality of text at the join.
+    # Words have no bounded length, so shingles meet by 128 bits of hash and are named by 128 others.
+    shingles = stored(distinct.select(F.explode("parts").alias("shingle"), "k").distinct().select(*key(F.col("shingle")), "k", F.md5("shingle").alias("sid")), "shingles")
     lengths = sorted(r.k for r in shingles.select("k").distinct().collect())  # at most SHINGLE values
     return distinct, shingles, lengths
 
@@ -60,17 +64,16 @@ def window_shingles(windows: DataFrame, shingle: int = SHINGLE) -> tuple[DataFra
 def shingle_hits(docs: DataFrame, shingles: DataFrame, lengths: list[int]) -> DataFrame:
     """One row per distinct document: doc_id, th, copies, n_words, and hits: sorted (k, pos, sid) of benchmark shingles.
 
-    Each document also emits a mark that always joins, so documents without a hit stay and no
-    second pass or outer join is needed.
+    Each document also emits a mark, which an outer join keeps, so documents without a hit stay and no
+    second pass is needed. Marks have the document's own hash as key: they meet nothing and no one task.
     """
-    spark = docs.sparkSession
-    mark = spark.createDataFrame([("", 0, 0)], "shingle string, k int, sid long")
-    known = broadcast_if_small(stored(shingles.select("shingle", "k", "sid").unionByName(mark), "known"), MAX_BROADCAST_SHINGLES)
+    known = broadcast_if_small(shingles, MAX_BROADCAST_SHINGLES)
     rows = docs.select("doc_id", text_hash(F.col("text")).alias("th"), words(F.col("text")).alias("w"))
-    none = F.array().cast("array<struct<pos:int,shingle:string>>")
-    all_of = lambda k: F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.struct(i.alias("pos"), _run("w", i, k).alias("shingle")))).otherwise(none)
-    mine = F.concat(F.array(F.struct(F.lit(-1).alias("pos"), F.lit("").alias("shingle"))), *[all_of(k) for k in lengths])
-    rows = rows.select("doc_id", "th", F.size("w").alias("n_words"), F.inline(mine)).join(known, "shingle")
+    none = F.array().cast("array<struct<pos:int,h1:bigint,h2:bigint>>")
+    all_of = lambda k: F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.struct(i.alias("pos"), *key(_run("w", i, k))))).otherwise(none)
+    mark = F.struct(F.lit(-1).alias("pos"), F.xxhash64("doc_id", "th").alias("h1"), F.col("th").alias("h2"))
+    mine = F.concat(F.array(mark), *[all_of(k) for k in lengths])
+    rows = rows.select("doc_id", "th", F.size("w").alias("n_words"), F.inline(mine)).join(known, ["h1", "h2"], "left").where("pos < 0 or sid is not null")
     hit = F.when(F.col("pos") >= 0, F.struct("k", "pos", "sid"))
     return rows.groupBy("doc_id", "th").agg(F.sum(F.when(F.col("pos") < 0, 1).otherwise(0)).alias("copies"), F.max("n_words").alias("n_words"), F.array_sort(F.collect_set(hit)).alias("hits"))
 
@@ -79,7 +82,7 @@ def occurrences(hits: DataFrame, windows: DataFrame) -> DataFrame:
     """doc_id, th, win_id, pos and n of every place where a window occurs."""
     rarity = stored(hits.select(F.explode("hits").alias("h")).groupBy("h.sid").agg(F.count("*").alias("freq")), "rarity")
     # Shingles in no document rule out their windows; of the others the rarest is the prefix.
-    each = windows.select("win_id", F.posexplode("parts").alias("off", "shingle")).withColumn("sid", F.xxhash64("shingle", F.lit(1)))
+    each = windows.select("win_id", F.posexplode("parts").alias("off", "shingle")).withColumn("sid", F.md5("shingle"))
     counted = each.join(rarity, "sid", "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
     prefix = counted.groupBy("win_id").agg(F.min(F.struct("freq", "sid", "off")).alias("p"), F.array_sort(F.collect_list(F.struct("off", "sid"))).alias("order"))
     prefix = prefix.where("p.freq > 0").join(windows.select("win_id", "n", "k"), "win_id")

@@ -1,6 +1,8 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import pytest
+
 from boxframe.llm import decontaminate
 
 from .helpers import docs, empty, rows, table, text_words
@@ -26,7 +28,9 @@ def brute(data, items):
     return out
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("bound", [decontaminate.MAX_BROADCAST_SHINGLES, 0])
+def test_against_brute_force(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_SHINGLES", bound)
     data = rows()
     w = text_words(data[-6][1] or "") or text_words(data[10][1])
     items = [(1, data[0][1]), (2, " ".join(w[3:16])), (3, "two words"), (10, "word"), (4, None), (5, "  "), (2, "two words"), (None, data[1][1]), (7, "not there at all " * 4)]
