@@ -27,7 +27,9 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_documents(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    """With a ledger at the path in boxframe.secrets.ledger, only what it lacks is scanned; else every distinct text is."""
+    docs, ledger = _table(spark, sf_dir, "documents", "doc_id", "text"), spark.conf.get("boxframe.secrets.ledger", None)
+    return secrets.scan_with_ledger(docs, ledger) if ledger else secrets.scan_documents(docs)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,7 @@ RULES = (
     # Maximal runs: shorter ones are never matches of [0-9a-f]+ that pass, so the engine may skip them.
     Rule("hex", 1, r"(?<![0-9a-f])[0-9a-f]{24,}", 0, 24),
 )
+LEDGER = "blob string, kind string, version int, spans array<struct<s:int,r:int,e:int,kind:string>>"
 SPAN = "array<struct<s:int,r:int,e:int,kind:string>>"
 
 
@@ -107,6 +108,19 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")], F.sha2(text.cast("binary"), 256).alias("base_sha256"), text.alias("spans"))
 
 
+def scan_with_ledger(docs: DataFrame, path: str) -> DataFrame:
+    """One digest row per document; the ledger at path is read, if there is one, and what it lacked is appended to it.
+
+    One writer at a time. A run that is lost before its rows are committed leaves the ledger as it was.
+    """
+    spark, versions = docs.sparkSession, docs.select("doc_id", "text")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    known = spark.read.schema(LEDGER).parquet(path) if there else None
+    scan(unseen(versions, known)).write.mode("append").parquet(path)
+    return digest(findings(versions, spark.read.schema(LEDGER).parquet(path)))
+
+
 def scan_documents(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """One digest row per document, after bringing the ledger up to date."""
     versions = docs.select("doc_id", "text")

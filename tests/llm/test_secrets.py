@@ -46,6 +46,17 @@ def test_ledger_scans_only_what_is_unseen(spark):
     assert hexes[107] == 1 and hexes[104] == 0
 
 
+def test_a_second_run_scans_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "ledger")
+    first = spark.createDataFrame(CASES, "doc_id long, text string")
+    got = table(secrets.scan_with_ledger(first, path), "doc_id", "spans")
+    n = spark.read.parquet(path).count()
+    assert table(secrets.scan_with_ledger(first, path), "doc_id", "spans") == got == Counter((i, brute(t)[4]) for i, t in CASES)
+    assert spark.read.parquet(path).count() == n
+    more = first.unionByName(spark.createDataFrame([(900, "api_key: 0123456789")], first.schema))
+    assert secrets.scan_with_ledger(more, path).count() == len(CASES) + 1 and spark.read.parquet(path).count() == n + len(secrets.RULES)
+
+
 def test_empty_table(spark):
     assert secrets.scan_documents(empty(spark)).count() == 0
     assert secrets.scan_documents(docs(spark)).count() == len(rows())
