@@ -40,8 +40,11 @@ SHINGLE = 3
 #: Fingerprints of the sample that shapes the tree; a bound on what the driver ever sees.
 SAMPLE = 65_536
 SHARD_POINTS = 8_192
-MAX_SHARDS = 4_096
+#: Visitors of a shard that one task compares with its points.
+VISITORS = 65_536
 LEAF = 48
+#: Points of the sample below which they shape no node.
+THIN = 8
 #: Shingle hashes that numpy unpacks at a time.
 CHUNK = 1 << 16
 
@@ -104,16 +107,21 @@ def _split(points: np.ndarray) -> tuple[np.uint64, int] | None:
 
 
 def build(sample: np.ndarray, shards: int) -> list[tuple[int, int, int, int]]:
-    """Nodes (vantage, radius, inner, outer) of a tree with about that many leaves; a child below 0 is shard -child - 1."""
+    """Nodes (vantage, radius, inner, outer) of a tree with about that many leaves; a child below 0 is shard -child - 1.
+
+    Where the sample is too thin to shape a node, its vantage point is drawn and its radius is half of the bits.
+    """
     nodes: list[list[int]] = []
-    leaves = 0
+    leaves, drawn = 0, np.random.default_rng(10)
 
     def grow(points: np.ndarray, want: int) -> int:
         nonlocal leaves
-        part = _split(points) if want > 1 and len(points) > 1 else None
-        if part is None:
+        if want <= 1:
             leaves += 1
             return -leaves
+        part = _split(points) if len(points) >= THIN else None
+        if part is None:
+            part = drawn.integers(0, 1 << 64, dtype=np.uint64), 32
         at = len(nodes)
         nodes.append([int(part[0]), part[1], 0, 0])
         near = _distance(points, part[0]) <= part[1]
@@ -167,13 +175,13 @@ class _Forest:
         return a != b
 
 
-def links(points: np.ndarray, homes: int) -> list[tuple[int, int]]:
+def links(points: np.ndarray, homes: int, among: bool = True) -> list[tuple[int, int]]:
     """Spanning links between positions of points within RADIUS; the first ``homes`` points are the shard's own.
 
-    Every link of which one end is a home is found or implied by the returned ones.
+    Every link of which one end is a home is found or implied by the returned ones; without ``among`` only those to visitors.
     """
     forest, out = _Forest(len(points)), []
-    stack = [(np.arange(homes), np.arange(len(points)))]
+    stack = [(np.arange(homes), np.arange(0 if among else homes, len(points)))]
     while stack:
         own, asks = stack.pop()
         if not len(own) or not len(asks):
@@ -198,14 +206,14 @@ def links(points: np.ndarray, homes: int) -> list[tuple[int, int]]:
 def _shard_links(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["home", "fp"], ascending=[False, True])
     fp = pdf.fp.to_numpy()
-    pairs = np.array(links(fp.view(np.uint64), int(pdf.home.sum())), np.int64).reshape(-1, 2)
+    pairs = np.array(links(fp.view(np.uint64), int(pdf.home.sum()), bool((pdf.block == 0).all())), np.int64).reshape(-1, 2)
     return pd.DataFrame({"a": fp[pairs[:, 0]], "b": fp[pairs[:, 1]]})
 
 
 def link(distinct: DataFrame) -> DataFrame:
     """a, b: links that span the components of the distinct fingerprints fp (a stored table)."""
     n = distinct.count()
-    shards = int(min(MAX_SHARDS, 2 ** np.ceil(np.log2(max(1, n / SHARD_POINTS)))))
+    shards = int(2 ** np.ceil(np.log2(max(1, n / SHARD_POINTS))))
     tree: list[tuple[int, int, int, int]] = []
     if shards > 1:
         sample = distinct.select("fp", F.xxhash64("fp").alias("r")).orderBy("r").limit(SAMPLE).toPandas().fp.to_numpy()
@@ -219,8 +227,13 @@ def link(distinct: DataFrame) -> DataFrame:
                 s = slice(at, at + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(shard[s]), pa.array(fp[idx[s]]), pa.array(home[s])], ["shard", "fp", "home"])
 
-    spread = distinct.mapInArrow(routed, "shard long, fp long, home boolean")
-    return spread.groupBy("shard").applyInPandas(_shard_links, "a long, b long")
+    spread = stored(distinct.mapInArrow(routed, "shard long, fp long, home boolean"), "routed")
+    # A shard's visitors are dealt to blocks, each of which meets all of the shard's points.
+    sizes = spread.groupBy("shard").agg(F.ceil(F.count_if(~F.col("home")) / VISITORS).cast("int").alias("blocks")).where("blocks > 1")
+    spread = spread.join(broadcast_if_small(stored(sizes, "blocks"), 200_000), "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    one = F.array(F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    spread = spread.select("shard", "fp", "home", F.explode(F.when(F.col("home"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(one)).alias("block"))
+    return spread.groupBy("shard", "block").applyInPandas(_shard_links, "a long, b long")
 
 
 # -- components -----------------------------------------------------------------------------------

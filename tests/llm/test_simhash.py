@@ -33,9 +33,10 @@ def groups(points):
     return [root(i) for i in range(len(points))]
 
 
-@pytest.mark.parametrize("points", [8192, 4])
-def test_against_brute_force(spark, monkeypatch, points):
+@pytest.mark.parametrize(("points", "visitors"), [(8192, 65536), (4, 3)])
+def test_against_brute_force(spark, monkeypatch, points, visitors):
     monkeypatch.setattr(simhash, "SHARD_POINTS", points)
+    monkeypatch.setattr(simhash, "VISITORS", visitors)
     data = rows()
     fp = [fingerprint(d[1]) for d in data]
     g = groups(fp)
@@ -49,12 +50,13 @@ def test_against_brute_force(spark, monkeypatch, points):
     assert kept.columns == docs(spark).columns and kept.count() == len(set(g))
 
 
-def test_trees_lose_no_link():
+@pytest.mark.parametrize("shards", [16, 512])
+def test_trees_lose_no_link(shards):
     r = random.Random(2)
     base = [r.getrandbits(64) for _ in range(400)]
     points = base + [b ^ (1 << r.randrange(64)) for b in base[:200]] + [base[0] ^ (1 << i) ^ (1 << j) for i in range(20) for j in range(i)]
     a = np.unique(np.array(points, np.uint64))
-    tree = simhash.build(a[::3], 16)
+    tree = simhash.build(a[::3], shards)
     idx, shard, home = simhash.route(tree, a)
     assert sorted(idx[home]) == list(range(len(a)))
     found = []
