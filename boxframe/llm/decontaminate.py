@@ -31,11 +31,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), WORD_GAP), lambda w: w != "")
 
 
-def _run(array: str, at: Column, k: int) -> Column:
-    """k words from a position, joined by the space that no word contains."""
-    return F.concat_ws(" ", *[F.get(array, at + j) for j in range(k)]) if k > 1 else F.get(array, at)
-
-
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """win (its words), n (their number) and item_id, distinct."""
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
@@ -44,8 +39,13 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return items.select("item_id", at.alias("win")).distinct().withColumn("n", F.size("win"))
 
 
-def key(shingle: Column) -> list[Column]:
-    return [F.xxhash64(shingle).alias("h1"), F.xxhash64(F.lit(1), shingle).alias("h2")]
+def key(x: Column | str, y: Column | str, at: Column, k: int = SHINGLE) -> list[Column]:
+    """128 bits of the k words from a position, of the arrays of their hashes; what lies behind the end counts nothing."""
+    return [F.xxhash64(*[F.get(a, at + j) for j in range(k)]).alias(name) for a, name in ((x, "h1"), (y, "h2"))]
+
+
+def hashed(words: Column) -> tuple[Column, Column]:
+    return F.transform(words, lambda w: F.xxhash64(w)), F.transform(words, lambda w: F.xxhash64(F.lit(1), w))
 
 
 def window_shingles(windows: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame, list[int]]:
@@ -56,7 +56,7 @@ def window_shingles(windows: DataFrame, shingle: int = SHINGLE) -> tuple[DataFra
     parts = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("k")), lambda i: F.array_join(F.slice("win", i + 1, F.col("k")), " "))
     distinct = stored(distinct.select(ident(F.array_join("win", " ")).alias("win_id"), "n", "k", parts.alias("parts")), "windows")
     # Words have no bounded length, so shingles meet by 128 bits of hash and are named by 128 others.
-    shingles = stored(distinct.select(F.explode("parts").alias("shingle"), "k").distinct().select(*key(F.col("shingle")), "k", F.md5("shingle").alias("sid")), "shingles")
+    shingles = stored(distinct.select(F.explode("parts").alias("shingle"), "k").distinct().select(*key(*hashed(F.split("shingle", " ")), F.lit(0)), "k", F.md5("shingle").alias("sid")), "shingles")
     lengths = sorted(r.k for r in shingles.select("k").distinct().collect())  # at most SHINGLE values
     return distinct, shingles, lengths
 
@@ -69,11 +69,13 @@ def shingle_hits(docs: DataFrame, shingles: DataFrame, lengths: list[int]) -> Da
     """
     known = broadcast_if_small(shingles, MAX_BROADCAST_SHINGLES)
     rows = docs.select("doc_id", text_hash(F.col("text")).alias("th"), words(F.col("text")).alias("w"))
+    x, y = hashed(F.col("w"))
+    rows = rows.select("doc_id", "th", F.size("w").alias("n_words"), x.alias("x"), y.alias("y"))
     none = F.array().cast("array<struct<pos:int,h1:bigint,h2:bigint>>")
-    all_of = lambda k: F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.struct(i.alias("pos"), *key(_run("w", i, k))))).otherwise(none)
+    all_of = lambda k: F.when(F.col("n_words") >= k, F.transform(F.sequence(F.lit(0), F.col("n_words") - k), lambda i: F.struct(i.alias("pos"), *key("x", "y", i, k)))).otherwise(none)
     mark = F.struct(F.lit(-1).alias("pos"), F.xxhash64("doc_id", "th").alias("h1"), F.col("th").alias("h2"))
     mine = F.concat(F.array(mark), *[all_of(k) for k in lengths])
-    rows = rows.select("doc_id", "th", F.size("w").alias("n_words"), F.inline(mine)).join(known, ["h1", "h2"], "left").where("pos < 0 or sid is not null")
+    rows = rows.select("doc_id", "th", "n_words", F.inline(mine)).join(known, ["h1", "h2"], "left").where("pos < 0 or sid is not null")
     hit = F.when(F.col("pos") >= 0, F.struct("k", "pos", "sid"))
     return rows.groupBy("doc_id", "th").agg(F.sum(F.when(F.col("pos") < 0, 1).otherwise(0)).alias("copies"), F.max("n_words").alias("n_words"), F.array_sort(F.collect_set(hit)).alias("hits"))
 
