@@ -368,15 +368,11 @@ _EAV = {
 }
 
 
-@query(sql(" union all ".join(f"select '{a}' as source, '{k}' as key, {k}::varchar as value, count(*) as n from scoped where {k} is not null group by all" for a, ks in _EAV.items() for k in ks), ["scoped"]))
-def evidence_eav(s: SparkSession, d: str) -> DataFrame:
-    e = evidence.eav(wide(s, d)).where("source <> 'color'")
-    return e.groupBy("source", "key", "value").agg(F.count("*").alias("n"))
-
-
 _PROBES = {
-    0: "type in ('measure', 'currency', 'percentage')", 1: "type in ('date', 'iso_date')", 2: "type = 'year'", 3: r"regexp_matches(text, '^\$[\d,.]+$')", 4: r"regexp_matches(text, '^[\d,.]+\s*%$')", 5: r"regexp_matches(text, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$')",
-    100: "is_bold", 102: "is_dominant", 103: "is_rare", 200: "is_top_10pct", 201: "is_bottom_10pct", 202: "is_leftmost", 203: "in_table", 204: "above_data", 205: "subtends_column", 206: "in_data_rows", 300: "n_pages > 1",
+    0: "try_cast(replace(replace(replace(text, ',', ''), '$', ''), ' ', '') as double) is not null", 1: r"regexp_matches(trim(text), '^\d{4}$') and try_cast(trim(text) as integer) between 1900 and 2099", 2: "try_cast(text as date) is not null",
+    3: r"regexp_matches(trim(text), '^\$[\d,.]+$')", 4: r"regexp_matches(trim(text), '^[\d,.]+\s*%$')", 5: r"regexp_matches(trim(text), '^\d{5}(-\d{4})?$')", 6: r"regexp_matches(trim(text), '^\d{4}-\d{2}-\d{2}')",
+    7: "try_cast(replace(text, ',', '') as bigint) is not null", 8: r"regexp_matches(trim(text), '^\([\d,.]+\)$')", 9: r"regexp_matches(trim(text), '^[\x{2014}\x{2013}\-]$')",
+    100: "is_bold", 102: "is_dominant", 103: "is_rare", 104: "color <> mode(color) filter (style_rank = 1) over (partition by doc_id)", 200: "is_top_10pct", 201: "is_bottom_10pct", 202: "is_leftmost", 203: "in_table", 204: "above_data", 205: "subtends_column", 206: "in_data_rows", 300: "n_pages > 1",
 }
 _PROBE_LIST = "list_filter([" + ", ".join(f"case when {c} then {i} end" for i, c in _PROBES.items()) + "], lambda x: x is not null)"
 
@@ -386,6 +382,14 @@ def cell_probes(s: SparkSession, d: str) -> DataFrame:
     return evidence.probes(wide(s, d)).select(*CELL_KEY, F.array_join("probes", ",").alias("probes"))
 
 
+_EAV["color"] = ["color_outlier"]
+
+
+@query(sql(" union all ".join(f"select '{a}' as source, '{k}' as key, {k}::varchar as value, count(*) as n from (select *, {_PROBES[104]} as color_outlier from scoped) where {k} is not null group by all" for a, ks in _EAV.items() for k in ks), ["scoped"]))
+def evidence_eav(s: SparkSession, d: str) -> DataFrame:
+    return evidence.eav(wide(s, d)).groupBy("source", "key", "value").agg(F.count("*").alias("n"))
+
+
 # -- domains --------------------------------------------------------------------------------------
 
 _VOCABULARY = "(select 'priority' as domain, o_orderpriority as member from orders union select 'segment', c_mktsegment from customer union select 'nation', n_name from nation union select 'region', r_name from region union select 'brand', p_brand from part)"

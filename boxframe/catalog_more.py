@@ -85,7 +85,7 @@ def region_header_row(s: SparkSession, d: str) -> DataFrame:
     return j.groupBy(*PAGE_KEY, "table_id").agg(F.min("row_cluster").alias("header_row"))
 
 
-@query(sql(f"select {KEY}, ordinal, probe from cells, (values (0, 'currency', '^\\$[\\d,.]+$'), (1, 'percentage', '^[\\d,.]+\\s*%$'), (2, 'year', '^\\d{{4}}$'), (3, 'iso_date', '^\\d{{4}}-\\d{{2}}-\\d{{2}}'), (6, 'integer', '^-?\\d+$')) as r(ordinal, probe, pattern) where regexp_matches(text, pattern)", ["cells"]))
+@query(sql(f"select {KEY}, ordinal, probe from cells, (values (1, 'year', '^\\d{{4}}$'), (3, 'currency', '^\\$[\\d,.]+$'), (4, 'percentage', '^[\\d,.]+\\s*%$'), (5, 'zip_code', '^\\d{{5}}(-\\d{{4}})?$'), (6, 'iso_date', '^\\d{{4}}-\\d{{2}}-\\d{{2}}'), (8, 'negative', '^\\([\\d,.]+\\)$'), (9, 'em_dash', '^[\\x{{2014}}\\x{{2013}}\\-]$')) as r(ordinal, probe, pattern) where regexp_matches(text, pattern)", ["cells"]))
 def registry_probes(s: SparkSession, d: str) -> DataFrame:
     return scopes.registry_probes(geometry.document_cells(report(s, d)), scopes.REGISTRY)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.casts import is_number, try_day, try_number
 from ..schema import CELL_KEY, PAGE_KEY, ROW_KEY
 from . import geometry as g
 from . import sieve
@@ -141,10 +142,15 @@ def eav(wide_cells: DataFrame) -> DataFrame:
 
 def probes(wide_cells: DataFrame) -> DataFrame:
     """Sorted ordinals of the probes that hit a cell; cells without a hit have no row."""
-    t = F.col("text")
+    trimmed, whole = F.trim("text"), F.replace(F.col("text"), F.lit(","), F.lit(""))
+    year = trimmed.rlike(sieve.YEAR) & F.coalesce(trimmed.try_cast("int").between(1900, 2099), F.lit(False))
+    # A cast to an integer rounds, so any number in its range passes.
+    integer = is_number(whole) & F.coalesce(F.abs(try_number(whole)) < 2.0**63, F.lit(False))
+    italic = F.lower("font_name").contains("italic") if "font_name" in wide_cells.columns else F.lit(False)
     hits: list[tuple[int, Column]] = [
-        (0, F.col("type").isin("measure", "currency", "percentage")), (1, F.col("type").isin("date", "iso_date")), (2, F.col("type") == "year"), (3, t.rlike(sieve.CURRENCY)), (4, t.rlike(sieve.PERCENTAGE)), (5, t.rlike(sieve.EMAIL)), (6, t.rlike(sieve.UUID)),
-        (100, F.col("is_bold")), (102, F.col("is_dominant")), (103, F.col("is_rare")),
+        (0, is_number(sieve.stripped(F.col("text")))), (1, year), (2, try_day(F.col("text")).isNotNull()), (3, trimmed.rlike(sieve.CURRENCY)), (4, trimmed.rlike(sieve.PERCENTAGE)),
+        (5, trimmed.rlike(sieve.ZIP_CODE)), (6, trimmed.rlike(sieve.ISO_DATE)), (7, integer), (8, trimmed.rlike(r"^\([\d,.]+\)\z")), (9, trimmed.rlike(r"^[\u2014\u2013-]\z")),
+        (100, F.col("is_bold")), (101, italic), (102, F.col("is_dominant")), (103, F.col("is_rare")), (104, F.col("color_outlier")),
         (200, F.col("is_top_10pct")), (201, F.col("is_bottom_10pct")), (202, F.col("is_leftmost")), (203, F.col("in_table")), (204, F.col("above_data")), (205, F.col("subtends_column")), (206, F.col("in_data_rows")),
         (300, F.col("n_pages") > 1),
     ]
