@@ -13,11 +13,14 @@ from pyspark.sql import DataFrame
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet under spark.checkpoint.dir and read back: later branches share it and lineage ends here.
 
-    Only a session without that setting (a local test) gets a temporary folder.
+    Only a session in local mode gets a temporary folder without that setting; on a cluster it is needed.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="boxframe-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
