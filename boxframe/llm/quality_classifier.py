@@ -5,8 +5,8 @@ n-grams recur. Each is scaled by its class log-count ratio; a linear hinge-loss
 penalty is fitted to the scaled rows by dual coordinate descent. The driver fits it on a bounded sample of labelled rows
 (MAX_TRAIN); scoring is one pass over all whole texts without a shuffle.
 
-Defined results: null or empty texts have no n-grams and score by the recurrence feature alone; null doc_ids are held out
-like remainder 0; repeated rows score alike; without labels of both classes every score is 0.5; an empty
+Defined results: null or empty texts have no n-grams and score by the recurrence feature alone; null doc_ids count as remainder 0,
+which is not held out here; repeated rows score alike; without labels of both classes every score is 0.5; an empty
 table gives an empty result.
 """
 
