@@ -543,4 +543,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-from . import catalog_io, catalog_more  # noqa: E402, F401  register their queries
+from . import catalog_files, catalog_io, catalog_more  # noqa: E402, F401  register their queries

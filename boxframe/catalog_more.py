@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import _BODY, _MEMBERS, _PATTERN, _TOKENS, KEY, docs, query, report, table, typed, vocabulary
+from .catalog import _BODY, _MEMBERS, _PATTERN, _PROFILE, _TOKENS, KEY, docs, query, report, table, typed, vocabulary
 from .operators import domains, evidence, geometry, scopes, sequential, sieve
 from .plans.oracle_ctes import sql
 from .plans.store import stored
@@ -108,12 +108,12 @@ def sieve_roles_with_domain(s: SparkSession, d: str) -> DataFrame:
     return c.select(*CELL_KEY, "text", sieve.sieve_role_with_domain(F.col("text"), before, F.col("weight"), F.col("domain")).alias("role"))
 
 
-@query(sql("select doc_id, domain from (select distinct doc_id, page_id, row_cluster, cell_id, unnest(regexp_extract_all(lower(text), '[^\\s]+')) as token from cells) join " + _MEMBERS + " using (token) join (select distinct doc_id from (select doc_id, avg(coalesce(type in ('measure', 'currency'), false)::int) as m from typed group by doc_id) where m > 0.2) using (doc_id) where domain = 'priority' group by all", ["cells", "typed"]))
+@query(sql(f"select distinct doc_id, domain from {_TOKENS} join {_MEMBERS} using (token) join (select distinct doc_id, p from ({_PROFILE})) using (doc_id) join (values ('priority', 'tabular'), ('priority', 'form'), ('nation', 'narrative')) as g(domain, p) using (domain, p)", ["cells", "typed", "stats"]))
 def profile_gated_domains(s: SparkSession, d: str) -> DataFrame:
     """Only the domains whose tags name the document's profile are probed."""
     t = stored(typed(s, d), "typed")
     tags = s.createDataFrame([("priority", "tabular"), ("priority", "form"), ("nation", "narrative")], "domain string, profile string")
-    gated = evidence.profiles(t).join(tags, "profile").where("profile = 'tabular'").select("doc_id", "domain").distinct()
+    gated = evidence.profiles(t).join(tags, "profile").select("doc_id", "domain").distinct()
     return domains.present_domains(t, vocabulary(s, d)).join(gated, ["doc_id", "domain"], "left_semi")
 
 

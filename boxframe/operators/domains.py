@@ -57,6 +57,11 @@ def present_domains(cells: DataFrame, domains: DataFrame) -> DataFrame:
     return tokens(cells, ["doc_id"]).select("doc_id", "token").distinct().join(members(domains), "token").select("doc_id", "domain").distinct()
 
 
+def unknown_tokens(df: DataFrame, key: list[str], domains: DataFrame, text: str = "text") -> DataFrame:
+    """Distinct tokens of each key that no vocabulary has."""
+    return tokens(df, key, text).select(*key, "token").join(members(domains).select("token"), "token", "left_anti").select(*key, "token")
+
+
 def column_domains(cells: DataFrame, columns: list[str], domains: DataFrame, least: int = 2) -> DataFrame:
     """Per column the share of its cells in a domain, from ``least`` hits on."""
     total = cells.groupBy(*columns).agg(F.count("*").alias("n"))

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from boxframe.operators import evaluate, evidence, geometry, hypotheses, scoring
+from boxframe.operators import evaluate, evidence, geometry, hypotheses, scoring, sequential
 from boxframe.plans.store import stored
 from boxframe.schema import BOX, CELL_KEY
 from boxframe.sinks import artifact
@@ -94,3 +94,18 @@ def test_artifacts_are_written_once(spark, tmp_path):
     assert artifact.write(df, str(tmp_path / "art")) == 2
     assert artifact.write(df, str(tmp_path / "art")) == 0
     assert spark.read.parquet(str(tmp_path / "art/boxes")).count() == 3
+
+
+def test_merged_fragments_use_the_height_of_the_cells_first(spark):
+    b = [(1, 0, 1, 1, 0.0, 10.0, 10.0, "$12"), (1, 0, 1, 2, 12.0, 5.0, 2.0, ",400"), (1, 0, 1, 3, 24.0, 5.0, 2.0, "up"), (1, 0, 1, 4, 37.0, 1.0, 2.0, "x"), (1, 0, 1, 5, 40.0, 1.0, 2.0, "y"), (1, 0, 2, 6, 0.0, 1.0, 1.0, "z"), (1, 0, 1, 7, 43.9, 1.0, 10.0, "w")]
+    df = spark.createDataFrame(b, "doc_id long, page_id int, row_cluster long, ord long, x double, w double, h double, text string")
+    got = [(r.row_cluster, r.cell_id, r.x, round(r.w, 6), r.text) for r in sequential.merged_fragments(df).orderBy("row_cluster", "cell_id").collect()]
+    assert got == [(1, 1, 0.0, 29.0, "$12,400 up"), (1, 2, 37.0, 7.9, "x y w"), (2, 1, 0.0, 1.0, "z")]
+    assert sequential.merged_fragments(df.limit(0)).count() == 0
+
+
+def test_column_clusters_measure_from_the_first_member(spark):
+    xs = [0.0, 2.0, 4.0, 20.0, 30.0, 40.0, 50.0, None]  # gaps 2 2 16 10 10 10: tolerance 3
+    df = spark.createDataFrame([(1, 0, i, x) for i, x in enumerate(xs)] + [(2, 0, 9, 7.0), (2, 0, 10, 7.0)], "doc_id long, page_id int, ord int, x double")
+    got = {r.ord: r.col_cluster for r in sequential.column_clusters(df).collect()}
+    assert got == {0: 1, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: None, 9: 1, 10: 1}
