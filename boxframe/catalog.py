@@ -307,7 +307,7 @@ def clean_tokens(s: SparkSession, d: str) -> DataFrame:
 
 
 def wide(s: SparkSession, d: str) -> DataFrame:
-    return stored(evidence.wide(stored(geometry.document_cells(report(s, d)), "cells")), "wide")
+    return stored(evidence.wide(stored(typed(s, d), "cells")), "wide")
 
 
 @query(sql(f"select {KEY}, round(x_frac, 6) as x_frac, round(y_frac, 6) as y_frac, round(w_frac, 6) as w_frac, y_frac < 0.1 as is_top_10pct, y_frac > 0.9 as is_bottom_10pct from pos", ["pos"]))

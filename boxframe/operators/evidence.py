@@ -36,17 +36,17 @@ def with_position(cells: DataFrame) -> DataFrame:
     return c.withColumns({"is_top_10pct": F.col("y_frac") < 0.1, "is_bottom_10pct": F.col("y_frac") > 0.9})
 
 
-def with_color_outlier(cells: DataFrame) -> DataFrame:
+def with_color_outlier(cells: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Colour differs from the most frequent colour of the document's dominant style."""
-    modal = cells.where("style_rank = 1").groupBy("doc_id").agg(F.mode("color", True).alias("modal_color"))
+    modal = (cells if base is None else base).where("style_rank = 1").groupBy("doc_id").agg(F.mode("color", True).alias("modal_color"))
     return cells.join(modal, "doc_id", "left").withColumn("color_outlier", F.col("color") != F.col("modal_color")).drop("modal_color")
 
 
-def with_cross_page(cells: DataFrame) -> DataFrame:
+def with_cross_page(cells: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """n_pages: on how many pages the text stands at the same height, to 5 units; null for one."""
     at = F.floor(F.col("y") / 5).cast("long")
     c = cells.withColumn("__at", at)
-    n = c.groupBy("doc_id", "text", "__at").agg(F.count_distinct("page_id").alias("n_pages")).where("n_pages > 1")
+    n = (cells if base is None else base).withColumn("__at", at).groupBy("doc_id", "text", "__at").agg(F.count_distinct("page_id").alias("n_pages")).where("n_pages > 1")
     return c.join(n, ["doc_id", "text", "__at"], "left").drop("__at")
 
 
@@ -58,13 +58,19 @@ def with_rows(cells: DataFrame) -> DataFrame:
 
 
 def columns_of_pages(cells: DataFrame, gap: float = 20.0) -> DataFrame:
-    """Columns of a page from the centres of all typed cells: col_id, bounds, centre and number of cells."""
+    """Columns of a page from the centres of all typed cells: col_id, bounds, centre and number of cells.
+
+    Cells are counted by their position first. A column takes all within ``gap`` of any of its centres, which bands of that
+    width find by an equi-join; a position near several centres counts for each.
+    """
     order = Window.partitionBy(*PAGE_KEY).orderBy("xc")
-    inside = cells.where("type is not null").select(*PAGE_KEY, "x", "w", (F.col("x") + F.col("w") / 2).alias("xc"))
-    bins = inside.select(*PAGE_KEY, "xc").distinct().withColumn("__g", F.col("xc") - F.lag("xc").over(order))
-    bins = bins.withColumn("col_id", F.sum(F.when(F.col("__g").isNull() | (F.col("__g") > gap), 1).otherwise(0)).over(order)).withColumnRenamed("xc", "bin").drop("__g")
-    near = bins.join(inside, PAGE_KEY).where(F.abs(F.col("xc") - F.col("bin")) < gap)
-    return near.groupBy(*PAGE_KEY, "col_id").agg(F.min("x").alias("col_left"), F.max(F.col("x") + F.col("w")).alias("col_right"), F.avg("xc").alias("col_center"), F.count("*").alias("n_col_cells"))
+    at = cells.where("type is not null").groupBy(*PAGE_KEY, "x", "w").agg(F.count("*").alias("n")).withColumn("xc", F.col("x") + F.col("w") / 2)
+    at = at.withColumn("__g", F.col("xc") - F.lag("xc").over(order))
+    at = at.withColumns({"col_id": F.sum(F.when(F.col("__g").isNull() | (F.col("__g") > gap), 1).otherwise(0)).over(order), "__band": F.floor(F.col("xc") / gap)})
+    bands = F.array(*[F.col("__band") + k for k in (-1, 0, 1)])
+    bins = at.select(*PAGE_KEY, "col_id", F.col("xc").alias("bin"), bands.alias("__bands")).distinct().withColumn("__band", F.explode("__bands"))
+    near = bins.drop("__bands").join(at.drop("col_id", "__g"), [*PAGE_KEY, "__band"]).where(F.abs(F.col("xc") - F.col("bin")) < gap)
+    return near.groupBy(*PAGE_KEY, "col_id").agg(F.min("x").alias("col_left"), F.max(F.col("x") + F.col("w")).alias("col_right"), (F.sum(F.col("xc") * F.col("n")) / F.sum("n")).alias("col_center"), F.sum("n").alias("n_col_cells"))
 
 
 def column_alignment(cells: DataFrame) -> DataFrame:
@@ -75,9 +81,16 @@ def column_alignment(cells: DataFrame) -> DataFrame:
     return c.withColumn("alignment", F.when((F.col("w") < 30) & (off < 5), "center").when(right, "right").otherwise("left"))
 
 
-def with_subtends(cells: DataFrame) -> DataFrame:
-    s = column_alignment(cells).select(*CELL_KEY).distinct().withColumn("subtends_column", F.lit(True))
-    return cells.join(s, CELL_KEY, "left").withColumn("subtends_column", F.coalesce("subtends_column", F.lit(False)))
+def with_subtends(cells: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """col_ids, the sorted columns that a cell overlaps (null for none), and whether there are any.
+
+    A page's columns come to its cells as one array, so cells are neither multiplied nor shuffled by their own key.
+    """
+    columns = columns_of_pages(cells if base is None else base).groupBy(*PAGE_KEY).agg(F.array_sort(F.collect_list(F.struct("col_id", "col_left", "col_right"))).alias("__columns"))
+    over = F.filter("__columns", lambda k: (F.col("x") < k.col_right) & (F.col("x") + F.col("w") > k.col_left))
+    c = cells.join(columns, PAGE_KEY, "left").withColumn("__columns", over)
+    c = c.withColumn("col_ids", F.when(F.size("__columns") > 0, F.col("__columns.col_id"))).drop("__columns")
+    return c.withColumn("subtends_column", F.col("col_ids").isNotNull())
 
 
 def table_membership(cells: DataFrame) -> DataFrame:
@@ -89,17 +102,16 @@ def table_membership(cells: DataFrame) -> DataFrame:
     return m.select(*ROW_KEY, "region_id", F.col("region_id").isNotNull().alias("in_table"), F.col("row_cluster").between(F.col("start_row"), F.col("end_row")).alias("in_data_rows"), ((F.col("row_cluster") >= F.col("start_row") - 5) & (F.col("row_cluster") < F.col("start_row"))).alias("above_data"))
 
 
-def with_tables(cells: DataFrame) -> DataFrame:
+def with_tables(cells: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Per cell whether any region has it near, in its data rows, or above."""
-    m = table_membership(cells).groupBy(*ROW_KEY).agg(F.bool_or("in_table").alias("in_table"), F.coalesce(F.bool_or("in_data_rows"), F.lit(False)).alias("in_data_rows"), F.coalesce(F.bool_or("above_data"), F.lit(False)).alias("above_data"))
+    m = table_membership(cells if base is None else base).groupBy(*ROW_KEY).agg(F.bool_or("in_table").alias("in_table"), F.coalesce(F.bool_or("in_data_rows"), F.lit(False)).alias("in_data_rows"), F.coalesce(F.bool_or("above_data"), F.lit(False)).alias("above_data"))
     return cells.join(m, ROW_KEY)
 
 
-def with_sections(cells: DataFrame) -> DataFrame:
+def with_sections(cells: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """is_section_label: bold or rare, near its row's left edge, at most one typed cell in the row; scope_l0 carries the last one at indent 0 down."""
     c = cells.withColumn("is_section_label", (F.col("is_bold") | (F.col("style_rank") >= 2)) & (F.col("x") <= F.col("row_left") + 10) & (F.col("row_n_typed") <= 1))
-    levels = g.indent_levels(c).select(*CELL_KEY, "indent_level")
-    c = c.join(levels, CELL_KEY, "left")
+    c = c.withColumn("xr", F.round("x")).join(g.indent_edges(cells if base is None else base), ["doc_id", "xr"], "left").drop("xr")
     row = Window.partitionBy(*ROW_KEY)
     label = F.min_by(F.when(F.col("is_section_label") & (F.coalesce("indent_level", F.lit(0)) == 0), F.col("text")), F.when(F.col("is_section_label") & (F.coalesce("indent_level", F.lit(0)) == 0), F.col("cell_id"))).over(row)
     c = c.withColumn("__label", label)
@@ -123,9 +135,14 @@ def profiles(typed_cells: DataFrame) -> DataFrame:
 
 
 def wide(cells: DataFrame) -> DataFrame:
-    """All passes in order: cells with typed evidence columns."""
-    c = with_rows(with_cross_page(with_color_outlier(with_position(with_style(typed(cells))))))
-    return with_sections(with_tables(with_subtends(c)))
+    """All passes in order: cells with typed evidence columns.
+
+    What a pass aggregates comes from the given cells (best a stored table with its type), not from the frame that
+    the passes before have joined, which each branch would compute again.
+    """
+    base = cells if "type" in cells.columns else typed(cells)
+    c = with_rows(with_cross_page(with_color_outlier(with_position(with_style(base)), base), base))
+    return with_sections(with_tables(with_subtends(c, base), base), base)
 
 
 EAV = {

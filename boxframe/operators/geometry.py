@@ -6,7 +6,7 @@ documents. Ties in position are broken by the reading order ``ord``, except wher
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..schema import CELL_KEY, PAGE_KEY, ROW_KEY
@@ -26,7 +26,8 @@ def row_clusters(boxes: DataFrame) -> DataFrame:
     Rows are numbered through the document; bands are numbered row * 1000 + band.
     """
     order = Window.partitionBy("doc_id").orderBy("page_id", "y", "x", "ord")
-    b = boxes.join(body_height(boxes), "doc_id")
+    tall_enough = F.when(F.col("h") > 2, F.col("h"))
+    b = boxes.withColumn("bh", F.greatest(F.percentile(tall_enough, F.lit(0.5)).over(Window.partitionBy("doc_id")), F.lit(4.0)))
     starts = F.lag("y").over(order).isNull() | (F.lag("page_id").over(order) != F.col("page_id")) | (F.col("y") - F.lag("y").over(order) > F.col("bh"))
     b = b.withColumn("__new", starts.cast("int")).withColumn("__row", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     row = Window.partitionBy("doc_id", "page_id", "__row")
@@ -41,18 +42,17 @@ def midline_rows(boxes: DataFrame) -> DataFrame:
     return boxes.withColumn("row_cluster", F.dense_rank().over(Window.partitionBy(*PAGE_KEY).orderBy(mid)).cast("long"))
 
 
-def gap_threshold(rows: DataFrame) -> DataFrame:
-    """thr: twice the 75th percentile of a document's word gaps, at least bh."""
-    order = Window.partitionBy(*ROW_KEY).orderBy("x", "ord")
-    g = rows.withColumn("gap", F.col("x") - F.lag(F.col("x") + F.col("w")).over(order))
-    p75 = F.expr("percentile(gap, 0.75) filter (where gap > 0.5 and gap < 3 * bh)")
-    return g.groupBy("doc_id").agg(F.greatest(F.coalesce(p75, F.max("bh")) * 2, F.max("bh")).alias("thr"))
+def gap_threshold(document: WindowSpec) -> Column:
+    """Twice the 75th percentile of a document's word gaps, at least bh."""
+    between = F.when((F.col("gap") > 0.5) & (F.col("gap") < 3 * F.col("bh")), F.col("gap"))
+    p75 = F.percentile(between, F.lit(0.75)).over(document)
+    return F.greatest(F.coalesce(p75, F.max("bh").over(document)) * 2, F.max("bh").over(document))
 
 
 def fragments(rows: DataFrame) -> DataFrame:
     """Adds cell_id: a new cell where the gap to the left exceeds the document's threshold; equal x shares a cell."""
     order = Window.partitionBy(*ROW_KEY).orderBy("x", "ord")
-    g = rows.join(gap_threshold(rows), "doc_id").withColumn("gap", F.col("x") - F.lag(F.col("x") + F.col("w")).over(order))
+    g = rows.withColumn("gap", F.col("x") - F.lag(F.col("x") + F.col("w")).over(order)).withColumn("thr", gap_threshold(Window.partitionBy("doc_id")))
     new = F.when(F.col("gap").isNull() | (F.col("gap") > F.col("thr")), 1).otherwise(0)
     return g.withColumn("__new", new).withColumn("cell_id", F.sum("__new").over(Window.partitionBy(*ROW_KEY).orderBy("x"))).drop("__new", "gap", "thr")
 
@@ -153,15 +153,19 @@ def column_headers(typed: DataFrame, regions: DataFrame, columns: DataFrame) ->
     return c.groupBy(*PAGE_KEY, "table_id", "col_id").agg(best.alias("b")).select(*PAGE_KEY, "table_id", "col_id", F.col("b.row_cluster").alias("header_row"), F.col("b.cell_id").alias("header_cell"), F.col("b.text").alias("header_text"))
 
 
-def indent_levels(cells: DataFrame, gap: float = 10.0) -> DataFrame:
-    """indent_level of cells whose rounded left edge is one of bold, rare or leftmost cells: edges more than 10 apart are levels."""
+def indent_edges(cells: DataFrame, gap: float = 10.0) -> DataFrame:
+    """indent_level of the rounded left edges xr of a document's bold, rare or leftmost cells: edges more than 10 apart are levels."""
     first = F.min("x").over(Window.partitionBy(*ROW_KEY))
     c = cells.withColumn("__first", first).withColumn("xr", F.round("x"))
     edges = c.where((F.col("weight") == "bold") | (F.col("style_rank") >= 2) | (F.col("x") <= F.col("__first") + 5)).select("doc_id", "xr").distinct()
     order = Window.partitionBy("doc_id").orderBy("xr")
     edges = edges.withColumn("__g", F.col("xr") - F.lag("xr").over(order))
-    edges = edges.withColumn("indent_level", F.sum(F.when(F.col("__g").isNull() | (F.col("__g") > gap), 1).otherwise(0)).over(order) - 1).drop("__g")
-    return c.join(edges, ["doc_id", "xr"]).drop("__first", "xr")
+    return edges.withColumn("indent_level", F.sum(F.when(F.col("__g").isNull() | (F.col("__g") > gap), 1).otherwise(0)).over(order) - 1).drop("__g")
+
+
+def indent_levels(cells: DataFrame, gap: float = 10.0) -> DataFrame:
+    """The cells whose left edge has an indent_level."""
+    return cells.withColumn("xr", F.round("x")).join(indent_edges(cells, gap), ["doc_id", "xr"]).drop("xr")
 
 
 def blocks(stats: DataFrame, heights: DataFrame) -> DataFrame:

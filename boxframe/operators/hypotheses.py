@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import CELL_KEY, PAGE_KEY, ROW_KEY
-from .evidence import column_alignment, probes
+from .evidence import probes
 
 # Priorities of the roles, most specific first.
 PRIORITY = ("chrome", "col_header", "section_label", "total_label", "row_label", "measure", "dimension", "field_label", "field_value", "prose")
@@ -34,12 +34,11 @@ def generate(wide: DataFrame) -> DataFrame:
     row = Window.partitionBy(*ROW_KEY)
     order = row.orderBy("x", "cell_id")
     c = wide.withColumns({"__n": F.count("*").over(row), "__i": F.row_number().over(order), "__label": F.lag("text").over(order)})
-    over = column_alignment(wide).groupBy(*CELL_KEY).agg(F.array_sort(F.collect_set("col_id")).alias("__cols"))
-    c = probes(c).join(over, CELL_KEY, "left")
+    c = probes(c)
     numeric, bold, rare, dominant = _has(0), _has(100), _has(103), _has(102)
     top, bottom, left, table, above, subtends, data, repeated = (_has(i) for i in (200, 201, 202, 203, 204, 205, 206, 300))
     none, null = F.lit(0), F.lit(None)
-    column = F.get("__cols", F.lit(0))
+    column = F.get("col_ids", F.lit(0))
     chrome_for, chrome_against = _n(repeated) * 3 + _n(rare, top, bottom), _n(table)
     fields = F.col("__n") == 2
     field = 2 + _n(~table), _n(data) * 2
@@ -54,7 +53,7 @@ def generate(wide: DataFrame) -> DataFrame:
         _hypothesis("field_value", fields & (F.col("__i") == 2), *field, F.col("__label")),
         _hypothesis("prose", F.lit(True), 1 + _n(dominant, ~numeric), _n(numeric, data), null),
     )
-    header = F.transform(F.coalesce("__cols", F.array().cast("array<bigint>")), lambda k: _hypothesis("col_header", subtends & above, 2 + _n(~numeric), _n(numeric), k))
+    header = F.transform(F.coalesce("col_ids", F.array().cast("array<bigint>")), lambda k: _hypothesis("col_header", subtends & above, 2 + _n(~numeric), _n(numeric), k))
     return c.select(*CELL_KEY, F.inline(F.filter(F.concat(single, header), lambda h: h.isNotNull())))
 
 
@@ -91,9 +90,8 @@ def paths(roles: DataFrame, wide: DataFrame) -> DataFrame:
     """Treemap paths: title / scope / row label / column header, of what there is, for every cell."""
     title = roles.where("role = 'chrome'").groupBy("doc_id").agg(F.min_by("text", F.struct("page_id", "y", "x")).alias("title"))
     row = roles.where("role in ('row_label', 'total_label')").groupBy(*ROW_KEY).agg(F.min_by("text", "x").alias("row_label"))
-    over = column_alignment(wide).groupBy(*CELL_KEY).agg(F.min("col_id").alias("col_id"))
     header = roles.where("role = 'col_header'").groupBy(*PAGE_KEY, F.col("detail").cast("long").alias("col_id")).agg(F.max_by("text", F.struct("row_cluster", -F.col("cell_id"))).alias("col_header"))
-    r = roles.join(wide.select(*CELL_KEY, "scope_l0"), CELL_KEY).join(over, CELL_KEY, "left").join(title, "doc_id", "left").join(row, ROW_KEY, "left").join(header, [*PAGE_KEY, "col_id"], "left")
+    r = roles.join(wide.select(*CELL_KEY, "scope_l0", F.get("col_ids", F.lit(0)).alias("col_id")), CELL_KEY).join(title, "doc_id", "left").join(row, ROW_KEY, "left").join(header, [*PAGE_KEY, "col_id"], "left")
     own = lambda name, role: F.when(F.col("role") != role, F.nullif(F.col(name), F.lit("")))
     path = F.concat_ws(" / ", own("title", "chrome"), own("scope_l0", "section_label"), own("row_label", "row_label"), own("col_header", "col_header"))
     return r.select(*CELL_KEY, "role", "text", path.alias("path"))
