@@ -69,11 +69,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes the files of stored tables that nothing will read again."""
     for df in tables:
-        jvm = df.sparkSession._jvm
         for file in df.inputFiles()[:1]:
-            folder = jvm.org.apache.hadoop.fs.Path(file).getParent().getParent()
-            if folder.getName().startswith("boxframe-"):
-                folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+            remove(df.sparkSession, file.rsplit("/", 2)[0])
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library made in the shared one."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getName().startswith("boxframe-"):
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -101,6 +105,21 @@ def broadcast_if_small(df: DataFrame, bound_rows: int) -> DataFrame:
     return F.broadcast(df) if small(df, bound_rows) else df
 
 
+def join_split(rows: DataFrame, keys: DataFrame, by: list[str], n: str, bound_rows: int = 200_000, hot: int = 10_000) -> DataFrame:
+    """rows joined with keys (a stored table without repeats in by, whose column n counts the rows that each of them joins).
+
+    Too many keys for a broadcast are merged; those of more than hot rows are still broadcast, if they are few, so that the merge has no
+    hot key. They are at most one in hot rows.
+    """
+    if small(keys, bound_rows):
+        return rows.join(F.broadcast(keys), by)
+    often = stored(keys.where(F.col(n) > hot), "hot_keys")
+    if not small(often, bound_rows):
+        return rows.join(keys.hint("merge"), by)
+    rest = rows.join(F.broadcast(often.select(by)), by, "left_anti").join(keys.where(F.col(n) <= hot).hint("merge"), by)
+    return rows.join(F.broadcast(often), by).unionByName(rest)
+
+
 def filtered(df: DataFrame, condition: Column) -> DataFrame:
     """df.where(condition), evaluated on df's finished columns.
 

