@@ -118,42 +118,69 @@ _HTTP = re.compile(rb"(?is)(?=.*^WARC-Type:[ \t]*(?:response|revisit)\b)(?=.*^Co
 _PIECES = pa.schema([("file", pa.string()), ("at", pa.int64()), ("head", pa.binary()), ("http", pa.binary()), ("payload", pa.binary()), ("complete", pa.bool_())])
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records from the pieces (file, value) of files, which come one after another."""
-    out: list[tuple] = []
-    held, file, at, head, parts, have, want = 0, None, 0, None, [], 0, 0
-
-    def ended() -> None:
-        nonlocal held, head, at
-        block, http, complete = END.join(parts)[:want], None, have >= want
-        if _HTTP.match(head):
+class _Records:
+    """Puts records together from the pieces of files, which come one after another, in order.
+
+    A payload that ends with part of a separator shifts where the pieces are cut, so lengths decide, not pieces: between two
+    pieces stands a separator whose first bytes may belong to a block.
+    """
+
+    def __init__(self) -> None:
+        self.out: list[tuple] = []
+        self.held = 0
+        self.file, self.at, self.head = None, 0, None
+
+    def piece(self, file: str, piece: bytes) -> None:
+        if file != self.file:
+            self.end()
+            self.file, self.at = file, 0
+        elif self.head is not None and self.parts and self.have < self.want <= self.have + len(END):
+            self.parts.append(b"")
+            piece = self._ended() + piece
+        if self.head is None:
+            piece = piece.lstrip(b"\r\n")
+            if piece[:5] == b"WARC/":  # else it belongs to no record
+                self.head, self.parts, self.have = piece, [], 0
+                length = _LENGTH.search(piece)
+                self.want = int(length[1]) if length else 0
+            return
+        self.have += len(piece) + len(END) * bool(self.parts)
+        self.parts.append(piece)
+        if self.have >= self.want:
+            rest = self._ended()
+            if rest:  # no separator stood behind the block
+                self.piece(file, rest)
+
+    def _ended(self) -> bytes:
+        """Takes the record that is open; what is left behind its block."""
+        data = END.join(self.parts)
+        block, rest, http = data[: self.want], data[self.want :], None
+        if _HTTP.match(self.head):
             http, _, block = block.partition(END)
-        out.append((file, at, head, http, block, complete))
-        held, head, at = held + len(block), None, at + 1
+        self.out.append((self.file, self.at, self.head, http, block, len(data) >= self.want))
+        self.held, self.head, self.at = self.held + len(block), None, self.at + 1
+        return rest
 
+    def end(self) -> None:
+        """The file has ended: a record that is open has what it has."""
+        if self.head is not None:
+            self._ended()
+
+    def taken(self) -> pa.RecordBatch:
+        rows, self.out, self.held = self.out, [], 0
+        return pa.RecordBatch.from_pylist([dict(zip(_PIECES.names, x, strict=True)) for x in rows], _PIECES)
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = _Records()
     for b in batches:
-        for name, piece in zip(b.column("file").to_pylist(), b.column("value"), strict=True):
-            if name != file:
-                if head is not None:
-                    ended()
-                file, at = name, 0
-            piece = piece.as_py()
-            if head is not None:
-                have += len(piece) + len(END) * bool(parts)
-                parts.append(piece)
-                if have >= want:
-                    ended()
-            elif piece.lstrip(b"\r\n")[:5] == b"WARC/":  # else it belongs to no record
-                head, parts, have = piece.lstrip(b"\r\n"), [], 0
-                length = _LENGTH.search(head)
-                want = int(length[1]) if length else 0
-            if held >= BATCH:
-                yield pa.RecordBatch.from_pylist([dict(zip(_PIECES.names, x, strict=True)) for x in out], _PIECES)
-                out, held = [], 0
-    if head is not None:
-        ended()
-    if out:
-        yield pa.RecordBatch.from_pylist([dict(zip(_PIECES.names, x, strict=True)) for x in out], _PIECES)
+        for file, piece in zip(b.column("file").to_pylist(), b.column("value"), strict=True):
+            found.piece(file, piece.as_py())
+            if found.held >= BATCH:
+                yield found.taken()
+    found.end()
+    if found.out:
+        yield found.taken()
 
 
 def field(name: str) -> Column:
