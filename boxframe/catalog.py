@@ -310,7 +310,7 @@ def wide(s: SparkSession, d: str) -> DataFrame:
     return stored(evidence.wide(stored(typed(s, d), "cells")), "wide")
 
 
-@query(sql(f"select {KEY}, round(x_frac, 6) as x_frac, round(y_frac, 6) as y_frac, round(w_frac, 6) as w_frac, y_frac < 0.1 as is_top_10pct, y_frac > 0.9 as is_bottom_10pct from pos", ["pos"]))
+@query(sql(f"select {KEY}, round(x_frac, 6) as x_frac, round(y_frac, 6) as y_frac, round(w_frac, 6) as w_frac, y < y0 + (y1 - y0) * 0.1 as is_top_10pct, y + h > y1 - (y1 - y0) * 0.1 as is_bottom_10pct from pos", ["pos"]))
 def page_position(s: SparkSession, d: str) -> DataFrame:
     return rounded(evidence.with_position(typed(s, d)), "x_frac", "y_frac", "w_frac").select(*CELL_KEY, "x_frac", "y_frac", "w_frac", "is_top_10pct", "is_bottom_10pct")
 
@@ -362,34 +362,15 @@ def doc_profile_of_texts(s: SparkSession, d: str) -> DataFrame:
     return evidence.profiles(typed_words(s, d))
 
 
-_EAV = {
-    "style_hist": ["style_rank", "style_count", "is_bold", "is_rare", "is_dominant"], "pattern": ["type"], "page_pos": ["is_top_10pct", "is_bottom_10pct"], "cross_page": ["n_pages"], "row_geom": ["is_leftmost", "is_data_row"], "column_align": ["subtends_column"],
-    "table_region": ["in_table", "in_data_rows", "above_data"], "indent": ["indent_level"], "section": ["is_section_label", "scope_l0"],
-}
-
-
 _PROBES = {
     0: "try_cast(replace(replace(replace(text, ',', ''), '$', ''), ' ', '') as double) is not null", 1: r"regexp_matches(trim(text), '^\d{4}$') and try_cast(trim(text) as integer) between 1900 and 2099", 2: "try_cast(text as date) is not null",
     3: r"regexp_matches(trim(text), '^\$[\d,.]+$')", 4: r"regexp_matches(trim(text), '^[\d,.]+\s*%$')", 5: r"regexp_matches(trim(text), '^\d{5}(-\d{4})?$')", 6: r"regexp_matches(trim(text), '^\d{4}-\d{2}-\d{2}')",
     7: "try_cast(replace(text, ',', '') as bigint) is not null", 8: r"regexp_matches(trim(text), '^\([\d,.]+\)$')", 9: r"regexp_matches(trim(text), '^[\x{2014}\x{2013}\-]$')",
-    100: "is_bold", 102: "is_dominant", 103: "is_rare", 104: "color <> mode(color) filter (style_rank = 1) over (partition by doc_id)", 200: "is_top_10pct", 201: "is_bottom_10pct", 202: "is_leftmost", 203: "in_table", 204: "above_data", 205: "subtends_column", 206: "in_data_rows", 300: "n_pages > 1",
+    100: "is_bold", 101: "font_name ilike '%italic%'", 102: "is_dominant", 103: "is_rare", 104: "color <> mode(color) filter (style_rank = 1) over (partition by doc_id)", 200: "is_top_10pct", 201: "is_bottom_10pct", 202: "is_leftmost", 203: "in_table", 204: "above_data", 205: "subtends_column", 206: "in_data_rows", 300: "n_pages > 1",
 }
 _PROBE_LIST = "list_filter([" + ", ".join(f"case when {c} then {i} end" for i, c in _PROBES.items()) + "], lambda x: x is not null)"
 
 
-@query(sql(f"select {KEY}, array_to_string(p, ',') as probes from (select *, {_PROBE_LIST} as p from scoped) where len(p) > 0", ["scoped"]))
-def cell_probes(s: SparkSession, d: str) -> DataFrame:
-    return evidence.probes(wide(s, d)).select(*CELL_KEY, F.array_join("probes", ",").alias("probes"))
-
-
-_EAV["color"] = ["color_outlier"]
-
-
-@query(sql(" union all ".join(f"select '{a}' as source, '{k}' as key, {k}::varchar as value, count(*) as n from (select *, {_PROBES[104]} as color_outlier from scoped) where {k} is not null group by all" for a, ks in _EAV.items() for k in ks), ["scoped"]))
-def evidence_eav(s: SparkSession, d: str) -> DataFrame:
-    return evidence.eav(wide(s, d)).groupBy("source", "key", "value").agg(F.count("*").alias("n"))
-
-
 # -- domains --------------------------------------------------------------------------------------
 
 _VOCABULARY = "(select 'priority' as domain, o_orderpriority as member from orders union select 'segment', c_mktsegment from customer union select 'nation', n_name from nation union select 'region', r_name from region union select 'brand', p_brand from part)"
@@ -495,11 +476,12 @@ def role_hypotheses(s: SparkSession, d: str) -> DataFrame:
     return hypotheses.generate(wide(s, d))
 
 
-_BAD = f"""hy as materialized (select * from {_HYP}), bad as materialized (
-  select {KEY}, hypothesis, detail, 'one_header_per_column' as rule from (select *, row_number() over (partition by doc_id, page_id, detail order by support desc, row_cluster desc, cell_id) as r from hy where hypothesis = 'col_header') where r > 1
-  union all select {KEY}, h.hypothesis, h.detail, 'measure_not_header' from hy h join (select {KEY}, support - against as m from hy where hypothesis = 'measure') using ({KEY}) where h.hypothesis = 'col_header' and m >= h.support - h.against
-  union all select {KEY}, hypothesis, detail, 'section_not_in_data' from hy where hypothesis = 'section_label' and against > 0 and (doc_id, page_id, row_cluster) in (select (doc_id, page_id, row_cluster) from hy where hypothesis in ('row_label', 'total_label'))
-  union all select {KEY}, hypothesis, detail, 'header_implies_column' from hy where hypothesis = 'col_header' and detail is null)"""
+_ONE_HEADER = "(select *, row_number() over (partition by doc_id, page_id, detail order by support - against desc, row_cluster desc, cell_id) as r from {0} where hypothesis = 'col_header' and detail is not null) where r > 1"
+_EXCLUDED = f"""select {KEY}, h.hypothesis, h.detail, 'measure_not_header' as rule from {{0}} h join (select {KEY}, support - against as m from {{0}} where hypothesis = 'measure') using ({KEY}) where h.hypothesis = 'col_header' and m >= h.support - h.against
+  union all select {KEY}, h.hypothesis, h.detail, 'measure_not_header' from {{0}} h join (select {KEY}, max(support - against) as m from {{0}} where hypothesis = 'col_header' group by all) using ({KEY}) where h.hypothesis = 'measure' and m > h.support - h.against
+  union all select {KEY}, h.hypothesis, h.detail, 'section_not_in_data' from {{0}} h where h.hypothesis = 'section_label' and against > 0
+  union all select {KEY}, h.hypothesis, h.detail, 'header_implies_column' from {{0}} h where h.hypothesis = 'col_header' and detail is null"""
+_BAD = f"""hy as materialized (select * from {_HYP}), bad as materialized (select {KEY}, hypothesis, detail, 'one_header_per_column' as rule from {_ONE_HEADER.format("hy")} union all {_EXCLUDED.format("hy")})"""
 _ORDER = "[" + ", ".join(f"'{p}'" for p in hypotheses.PRIORITY) + "]"
 _ROLES = f"""ro as materialized (select {KEY}, c.x, c.y, c.text, coalesce(b.hypothesis, 'unresolved') as role, b.detail, b.net from cells c left join (select {KEY}, hypothesis, detail, support - against as net from hy where support > against
   and not exists (select 1 from bad where bad.doc_id = hy.doc_id and bad.page_id = hy.page_id and bad.row_cluster = hy.row_cluster and bad.cell_id = hy.cell_id and bad.hypothesis = hy.hypothesis and bad.detail is not distinct from hy.detail)
@@ -543,4 +525,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-from . import catalog_files, catalog_io, catalog_more  # noqa: E402, F401  register their queries
+from . import catalog_evaluation, catalog_evidence, catalog_files, catalog_io, catalog_metadata, catalog_more, catalog_streams  # noqa: E402, F401  register their queries

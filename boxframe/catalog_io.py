@@ -169,7 +169,7 @@ def join_anti(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "customer").join(table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
-@query(sql("select a.doc_id, a.page_id, a.ord as upper, b.ord as lower from boxes a join boxes b on a.doc_id = b.doc_id and a.page_id = b.page_id and b.y > a.y and b.y <= a.y + 20 and a.x < b.x + b.w and a.x + a.w > b.x", ["boxes"]))
+@query(sql("select doc_id, page_id, a.ord as upper, b.ord as lower from (select *, unnest([y // 20, y // 20 + 1])::bigint as band from boxes) a join (select *, (y // 20)::bigint as band from boxes) b using (doc_id, page_id, band) where b.y > a.y and b.y <= a.y + 20 and a.x < b.x + b.w and a.x + a.w > b.x", ["boxes"]))
 def join_interval_overlap(s: SparkSession, d: str) -> DataFrame:
     """Boxes and those in the next row below that overlap them; y is cut into bands, so a box meets its band and the next only."""
     a = report(s, d).select(*PAGE_KEY, F.col("ord").alias("upper"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("w").alias("aw"), F.explode(F.array(F.floor(F.col("y") / 20), F.floor(F.col("y") / 20) + 1)).alias("band"))

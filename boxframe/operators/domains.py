@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.casts import fnv1a
+from . import bitmaps
 
 
 def normalised(c: Column) -> Column:
@@ -52,6 +53,43 @@ def cell_probe(cells: DataFrame, key: list[str], domains: DataFrame) -> DataFram
     return c.join(m, "h").where("__t = __m").select(*key, "domain")
 
 
+def narrow_hash(c: Column, bits: int) -> Column:
+    """The hash of a normalised text in a universe of 2 ** bits."""
+    return F.pmod(token_hash(c), F.lit(1 << bits))
+
+
+def screened_probe(cells: DataFrame, key: list[str], domains: DataFrame, bits: int = 20) -> DataFrame:
+    """cell_probe behind a screen: one bitmap of the members of all domains, 2 ** bits bits, goes to every task and lets few other cells pass.
+
+    The bitmap has 2 ** bits / 8 bytes whatever there is in the domains: a proven bound for its broadcast.
+    """
+    members = domains.select(narrow_hash(F.col("member"), bits).alias("v"))
+    screen = bitmaps.build(members, [], "v").select("bucket", F.col("bits").alias("__bits"))
+    h = narrow_hash(F.col("text"), bits)
+    passed = cells.withColumns({"__h": h, "bucket": F.bitmap_bucket_number(h + 1)}).join(F.broadcast(screen), "bucket").where(bitmaps.contains(F.col("__bits"), F.col("__h")))
+    return cell_probe(passed, key, domains)
+
+
+def false_positives(texts: DataFrame, domains: DataFrame, bits: list[int]) -> DataFrame:
+    """bits, domain, members, set_bits, probes, predicted, measured: how many distinct texts (column text) that are not members would pass a filter of each width.
+
+    predicted is probes * set_bits / 2 ** bits, the model's rate; measured counts the texts whose hash a member has.
+    """
+    m = domains.select("domain", normalised(F.col("member")).alias("m")).distinct()
+    t = texts.select(normalised(F.col("text")).alias("m")).where("m != ''").distinct()
+    widths = F.explode(F.array(*[F.struct(F.lit(b).alias("bits"), F.pmod(fnv1a(F.col("m")), F.lit(1 << b)).alias("h")) for b in bits])).alias("w")
+    hashed = m.select("domain", "m", widths).select("domain", "m", "w.*")
+    sizes = hashed.groupBy("bits", "domain").agg(F.count_distinct("m").alias("members"), F.count_distinct("h").alias("set_bits"))
+    hits = t.select("m", widths).select("m", "w.*").join(hashed.select("domain", "bits", "h").distinct(), ["bits", "h"])
+    known = m.select("domain", "m", F.lit(True).alias("__known"))
+    hits = hits.join(known, ["domain", "m"], "left").where("__known is null").groupBy("bits", "domain").agg(F.count("*").alias("measured"))
+    inside = t.join(m, "m").groupBy("domain").agg(F.count("*").alias("inside"))
+    total = t.agg(F.count("*").alias("total"))
+    rows = sizes.join(inside, "domain", "left").join(hits, ["bits", "domain"], "left").join(F.broadcast(total))  # one row
+    probes = F.col("total") - F.coalesce("inside", F.lit(0))
+    return rows.select("bits", "domain", "members", "set_bits", probes.alias("probes"), F.round(probes * F.col("set_bits") / F.pow(F.lit(2.0), F.col("bits")), 4).alias("predicted"), F.coalesce("measured", F.lit(0)).cast("long").alias("measured"))
+
+
 def present_domains(cells: DataFrame, domains: DataFrame) -> DataFrame:
     """Documents and the domains of which they have any token: the screen before cell-wise probes."""
     return tokens(cells, ["doc_id"]).select("doc_id", "token").distinct().join(members(domains), "token").select("doc_id", "domain").distinct()

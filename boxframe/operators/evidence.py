@@ -1,7 +1,7 @@
 """Evidence passes on one wide frame of cells, and the entity-attribute-value view of it.
 
-The wide frame is the working form: each pass adds typed columns with windows partitioned by document. Only ``eav``
-turns them into text, by one stack without a shuffle.
+The wide frame is the working form: each pass adds typed columns with windows partitioned by document. Only ``evidence_rows``
+turns them into text.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.casts import is_number, try_day, try_number
 from ..schema import CELL_KEY, PAGE_KEY, ROW_KEY
+from ..plans.ranks import numbered
+from . import domains
 from . import geometry as g
 from . import sieve
 
@@ -32,8 +34,9 @@ def with_position(cells: DataFrame) -> DataFrame:
     page = Window.partitionBy(*PAGE_KEY)
     x0, y0 = F.min("x").over(page), F.min("y").over(page)
     width, height = F.max(F.col("x") + F.col("w")).over(page) - x0, F.max(F.col("y") + F.col("h")).over(page) - y0
-    c = cells.withColumns({"x_frac": F.try_divide(F.col("x") - x0, width), "y_frac": F.try_divide(F.col("y") - y0, height), "w_frac": F.try_divide(F.col("w"), width)})
-    return c.withColumns({"is_top_10pct": F.col("y_frac") < 0.1, "is_bottom_10pct": F.col("y_frac") > 0.9})
+    c = cells.withColumns({"x_frac": F.try_divide(F.col("x") - x0, width), "y_frac": F.try_divide(F.col("y") - y0, height), "w_frac": F.try_divide(F.col("w"), width), "__top": y0, "__height": height})
+    top, tenth = F.col("__top"), F.col("__height") * 0.1
+    return c.withColumns({"is_top_10pct": F.col("y") < top + tenth, "is_bottom_10pct": F.col("y") + F.col("h") > top + F.col("__height") - tenth}).drop("__top", "__height")
 
 
 def with_color_outlier(cells: DataFrame, base: DataFrame | None = None) -> DataFrame:
@@ -145,16 +148,75 @@ def wide(cells: DataFrame) -> DataFrame:
     return with_sections(with_tables(with_subtends(c, base), base), base)
 
 
-EAV = {
-    "style_hist": ("style_rank", "style_count", "is_bold", "is_rare", "is_dominant"), "pattern": ("type",), "page_pos": ("is_top_10pct", "is_bottom_10pct"), "color": ("color_outlier",), "cross_page": ("n_pages",),
-    "row_geom": ("is_leftmost", "is_data_row"), "column_align": ("subtends_column",), "table_region": ("in_table", "in_data_rows", "above_data"), "indent": ("indent_level",), "section": ("is_section_label", "scope_l0"),
-}
+# Sources and keys of the evidence rows, with the columns that hold them.
+CELL_EVIDENCE = {
+    "style": {"style_rank": "style_rank", "style_count": "style_count", "is_bold": "is_bold", "is_rare": "is_rare", "is_dominant": "is_dominant"},
+    "pattern": {"type": "type"},
+    "position": {"x_frac": "x_frac", "y_frac": "y_frac", "w_frac": "w_frac", "is_top_10pct": "is_top_10pct", "is_bottom_10pct": "is_bottom_10pct"},
+    "color": {"is_color_outlier": "color_outlier"},
+    "cross_page": {"repeated_text_pages": "n_pages"},
+    "row_geom": {"is_leftmost": "is_leftmost"},
+    "column_align": {"subtends_column": "subtends_column"},
+    "table_region": {"in_table": "in_table", "in_data_rows": "in_data_rows", "above_data": "above_data"},
+    "indent": {"indent_level": "indent_level"},
+    "section": {"is_section_label": "__section", "scope_l0": "scope_l0"},
+}
+ROW_EVIDENCE = {"row_geom": {"n_cells": "n_cells", "n_typed": "n_typed", "is_data_row": "is_data_row", "row_left": "row_left", "row_right": "row_right", "row_width": "row_width"}}
+BLOCK_EVIDENCE = {"block": {"block_id": "block_id", "block_n_rows": "n_rows", "block_left": "block_left", "block_right": "block_right", "block_modal_cells": "modal_cells"}}
+EVIDENCE_KEY = ["doc_id", "page_id", "row_cluster", "cell_id"]
+#: What separates tokens of a cell for token-wise domain evidence.
+TOKEN_BREAK = r"[\s,;:()\[\]/]+"
 
 
-def eav(wide_cells: DataFrame) -> DataFrame:
-    """source, key, value rows of the wide frame; nulls have no row."""
-    entries = F.array(*[F.struct(F.lit(s).alias("source"), F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for s, keys in EAV.items() for k in keys])
-    return wide_cells.select(*CELL_KEY, F.inline(F.filter(entries, lambda e: e.value.isNotNull())))
+def _stacked(rows: DataFrame, evidence: dict[str, dict[str, str]], key: list[str]) -> DataFrame:
+    """Evidence rows of columns: one inline without a shuffle; nulls have no row. Levels below the key are null."""
+    each = F.array(*[F.struct(F.lit(s).alias("source"), F.lit(k).alias("key"), F.col(c).cast("string").alias("value")) for s, keys in evidence.items() for k, c in keys.items()])
+    return _levels(rows.select(*key, F.inline(F.filter(each, lambda e: e.value.isNotNull()))), key)
+
+
+def _levels(rows: DataFrame, key: list[str]) -> DataFrame:
+    return rows.select(*[F.col(c) if c in key else F.lit(None).cast("long").alias(c) for c in EVIDENCE_KEY], "source", "key", "value")
+
+
+def token_domains(cells: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Per cell and domain the share of the cell's tokens (of two letters and more, repeats counted) that are members."""
+    long = cells.where(F.char_length(F.trim("text")) > 1)
+    parts = F.filter(F.split(F.trim("text"), TOKEN_BREAK), lambda t: F.char_length(t) > 1)
+    tok = long.select(*CELL_KEY, F.size(parts).alias("n_tokens"), F.explode(parts).alias("token")).groupBy(*CELL_KEY, "n_tokens", domains.normalised(F.col("token")).alias("token")).agg(F.count("*").alias("times"))
+    members = vocabulary.select("domain", domains.normalised(F.col("member")).alias("token")).distinct()
+    hit = tok.join(members, "token").groupBy(*CELL_KEY, "n_tokens", "domain").agg(F.sum("times").alias("hits"))
+    return hit.select(*CELL_KEY, "domain", F.round(F.col("hits") / F.col("n_tokens"), 3).alias("share"))
+
+
+def evidence_rows(wide_cells: DataFrame, vocabulary: DataFrame, heights: DataFrame) -> DataFrame:
+    """doc_id, page_id, row_cluster, cell_id, source, key, value of every pass; row, page and document evidence has nulls below its level.
+
+    wide_cells is a stored table; heights has the body height of each document.
+    """
+    cell = _stacked(wide_cells.withColumn("__section", F.when(F.col("is_section_label"), F.lit(True))), CELL_EVIDENCE, CELL_KEY)
+    aligned = column_alignment(wide_cells)
+    columns = _stacked(aligned, {"column_align": {"col_id": "col_id", "col_center": "col_center"}, "alignment": {"type": "alignment"}}, CELL_KEY)
+    tokens = token_domains(wide_cells, vocabulary)
+    token = _levels(tokens.select(*CELL_KEY, F.lit("token_domain").alias("source"), F.col("domain").alias("key"), F.col("share").cast("string").alias("value")), CELL_KEY)
+    stats = g.row_stats(wide_cells)
+    rows = _stacked(stats.withColumns({"is_data_row": F.col("n_typed") >= 2, "row_width": F.col("row_right") - F.col("row_left")}), ROW_EVIDENCE, ROW_KEY)
+    blocks = g.blocks(stats, heights)
+    block = _stacked(blocks.select(*ROW_KEY, "block_id").join(g.block_summary(blocks), [*PAGE_KEY, "block_id"]), BLOCK_EVIDENCE, ROW_KEY)
+    placed = aligned.select(*CELL_KEY, "col_id").distinct()
+    n_columns = placed.groupBy(*PAGE_KEY).agg(F.count_distinct("col_id").alias("n_columns"))
+    page = _stacked(n_columns, {"column_align": {"n_columns": "n_columns"}}, PAGE_KEY)
+    hits = placed.join(tokens, CELL_KEY).groupBy(*PAGE_KEY, "col_id", "domain").agg(F.count("*").alias("hits")).where("hits >= 2")
+    hits = hits.join(placed.groupBy(*PAGE_KEY, "col_id").agg(F.count("*").alias("n")), [*PAGE_KEY, "col_id"])
+    name = F.concat(F.lit("col_"), F.col("col_id").cast("string"), F.lit(":"), F.col("domain"))
+    col_domain = _levels(hits.select(*PAGE_KEY, F.lit("col_domain").alias("source"), name.alias("key"), F.round(F.col("hits") / F.col("n"), 3).cast("string").alias("value")), PAGE_KEY)
+    kinds = profiles(wide_cells)
+    each = F.array(F.struct(F.lit("profile").alias("key"), F.col("profile").alias("value")), F.struct(F.concat("profile", F.lit("_confidence")).alias("key"), F.col("confidence").cast("string").alias("value")))
+    profile = _levels(kinds.select("doc_id", F.lit("doc_profile").alias("source"), F.inline(each)), ["doc_id"])
+    pages = _stacked(wide_cells.groupBy("doc_id").agg(F.count_distinct("page_id").alias("n")), {"doc_info": {"n_pages": "n"}}, ["doc_id"])
+    out = cell
+    for more in (columns, token, rows, block, page, col_domain, profile, pages):
+        out = out.unionByName(more)
+    return out
 
 
 def probes(wide_cells: DataFrame) -> DataFrame:
@@ -173,3 +235,19 @@ def probes(wide_cells: DataFrame) -> DataFrame:
     ]
     found = F.filter(F.array(*[F.when(c, F.lit(i)) for i, c in hits]), lambda p: p.isNotNull())
     return wide_cells.withColumn("probes", found).where(F.size("probes") > 0)
+
+
+FIRST_DOMAIN = 1_000
+
+
+def domain_ordinals(vocabulary: DataFrame) -> DataFrame:
+    """domain, ordinal: the probes of domains are numbered from FIRST_DOMAIN by name."""
+    return numbered(vocabulary.select("domain").distinct(), ["domain"], "ordinal", FIRST_DOMAIN)
+
+
+def probe_hits(wide_cells: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Cell key and ordinal of every probe that hits: the fixed registry, and from FIRST_DOMAIN on the domains of which the whole text is a member."""
+    fixed = probes(wide_cells).select(*CELL_KEY, F.explode("probes").alias("ordinal"))
+    found = domains.cell_probe(wide_cells.where(F.char_length(F.trim("text")) > 1), CELL_KEY, vocabulary)
+    named = found.join(domain_ordinals(vocabulary), "domain")
+    return fixed.unionByName(named.select(*CELL_KEY, F.col("ordinal").cast("int").alias("ordinal"))).distinct()

@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.store import stored
 from ..schema import CELL_KEY, PAGE_KEY, ROW_KEY
 from .evidence import probes
+from .geometry import row_stats
 
 # Priorities of the roles, most specific first.
 PRIORITY = ("chrome", "col_header", "section_label", "total_label", "row_label", "measure", "dimension", "field_label", "field_value", "prose")
@@ -57,29 +59,100 @@ def generate(wide: DataFrame) -> DataFrame:
     return c.select(*CELL_KEY, F.inline(F.filter(F.concat(single, header), lambda h: h.isNotNull())))
 
 
+_HYPOTHESIS = [*CELL_KEY, "hypothesis", "detail"]
+
+
+def _net() -> Column:
+    return F.col("support") - F.col("against")
+
+
+def _named(rows: DataFrame, constraint: str) -> DataFrame:
+    return rows.select(*_HYPOTHESIS, F.lit(constraint).alias("constraint"))
+
+
+def _one_header(hyp: DataFrame) -> DataFrame:
+    """Of the headers of a column the best by net support stays, of equals the lowest on the page."""
+    order = Window.partitionBy(*PAGE_KEY, "detail").orderBy(_net().desc(), F.col("row_cluster").desc(), "cell_id")
+    return _named(hyp.where("hypothesis = 'col_header' and detail is not null").withColumn("__r", F.row_number().over(order)).where("__r > 1"), "one_header_per_column")
+
+
+def _exclusions(hyp: DataFrame) -> DataFrame:
+    """No measure is a header (the weaker one goes), no section in data rows, no header without a column: one pass over the cells' hypotheses."""
+    cell = Window.partitionBy(*CELL_KEY)
+    best = lambda name: F.max(F.when(F.col("hypothesis") == name, _net())).over(cell)
+    rows = hyp.withColumns({"__m": best("measure"), "__h": best("col_header")})
+    header, measure = F.col("hypothesis") == "col_header", F.col("hypothesis") == "measure"
+    broken = F.array(
+        F.when((header & (F.col("__m") >= _net())) | (measure & (F.col("__h") > _net())), F.lit("measure_not_header")),
+        F.when((F.col("hypothesis") == "section_label") & (F.col("against") > 0), F.lit("section_not_in_data")),
+        F.when(header & F.col("detail").isNull(), F.lit("header_implies_column")),
+    )
+    return rows.select(*_HYPOTHESIS, F.explode(F.filter(broken, lambda b: b.isNotNull())).alias("constraint"))
+
+
 def violations(hyp: DataFrame) -> DataFrame:
-    """Hypotheses that a constraint rules out: the constraint and the hypothesis' key.
+    """Hypotheses that an applied constraint rules out: the constraint and the hypothesis' key."""
+    return _one_header(hyp).unionByName(_exclusions(hyp))
+
 
-    One header per column (the one lowest on the page stays), no measure is a header, no section in
-    data (a section with evidence against it in a row of row labels), a header needs a column.
+#: What data is, for the constraint that chrome is none.
+DATA_ROLES = ("measure", "row_label", "dimension")
+
+
+def declared_violations(hyp: DataFrame, cells: DataFrame) -> DataFrame:
+    """What the declared constraints rule out that the resolver does not apply.
+
+    chrome_not_data: a cell is chrome or data, whichever has more net support, chrome if equal. one_page_title: of a page's chrome the topmost
+    is its title. data_rows_contiguous: a lone row without data between two data rows is a sub-header or a total, so it
+    starts no section. cells have x, y and type.
+    """
+    cell = Window.partitionBy(*CELL_KEY)
+    chrome = F.max(F.when(F.col("hypothesis") == "chrome", _net())).over(cell)
+    data = F.max(F.when(F.col("hypothesis").isin(*DATA_ROLES), _net())).over(cell)
+    rows = hyp.withColumns({"__c": chrome, "__d": data})
+    is_chrome, is_data = F.col("hypothesis") == "chrome", F.col("hypothesis").isin(*DATA_ROLES)
+    not_data = rows.where((is_data & (F.col("__c") >= F.col("__d"))) | (is_chrome & (F.col("__d") > F.col("__c"))))
+    top = Window.partitionBy(*PAGE_KEY).orderBy("y", "x", "row_cluster", "cell_id")
+    titles = hyp.where(is_chrome).join(cells.select(*CELL_KEY, "x", "y"), CELL_KEY).withColumn("__r", F.row_number().over(top)).where("__r > 1")
+    page = Window.partitionBy(*PAGE_KEY).orderBy("row_cluster")
+    stats = row_stats(cells).select(*ROW_KEY, (F.col("n_typed") >= 2).alias("data"))
+    lone = stats.withColumns({"up": F.lag("data").over(page), "down": F.lead("data").over(page)}).where("not data and up and down")
+    contiguous = hyp.where("hypothesis = 'section_label'").join(lone.select(*ROW_KEY), ROW_KEY, "left_semi")
+    return _named(not_data, "chrome_not_data").unionByName(_named(titles, "one_page_title")).unionByName(_named(contiguous, "data_rows_contiguous"))
+
+
+def without(hyp: DataFrame, bad: DataFrame) -> DataFrame:
+    """hyp without the hypotheses of bad."""
+    gone = bad.select(*_HYPOTHESIS).distinct().withColumnsRenamed({k: f"__{k}" for k in _HYPOTHESIS})
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__{k}") for k in _HYPOTHESIS[:-1]]) & F.col("detail").eqNullSafe(F.col("__detail"))
+    return hyp.join(gone, same, "left_anti")
+
+
+def survivors(hyp: DataFrame, cells: DataFrame) -> DataFrame:
+    """hyp (a stored table) with round: the round in which it was ruled out, null for what stands when nothing more goes.
+
+    A round first rules out what excludes each other within cells and rows; only when that has ended do the survivors compete for columns
+    and titles, so what is impossible itself displaces nothing. Each round shrinks what is left, to a fixed point.
     """
-    key = [*CELL_KEY, "hypothesis", "detail"]
-    headers = hyp.where("hypothesis = 'col_header'")
-    lowest = F.row_number().over(Window.partitionBy(*PAGE_KEY, "detail").orderBy(F.col("support").desc(), F.col("row_cluster").desc(), "cell_id"))
-    one = headers.withColumn("__r", lowest).where("__r > 1").select(*key, F.lit("one_header_per_column").alias("constraint"))
-    measures = hyp.where("hypothesis = 'measure'").select(*CELL_KEY, (F.col("support") - F.col("against")).alias("__m"))
-    not_header = headers.join(measures, CELL_KEY).where(F.col("__m") >= F.col("support") - F.col("against")).select(*key, F.lit("measure_not_header").alias("constraint"))
-    rows = hyp.where("hypothesis in ('row_label', 'total_label')").select(*ROW_KEY).distinct()
-    section = hyp.where("hypothesis = 'section_label' and against > 0").join(rows, ROW_KEY, "left_semi").select(*key, F.lit("section_not_in_data").alias("constraint"))
-    columnless = headers.where("detail is null").select(*key, F.lit("header_implies_column").alias("constraint"))
-    return one.unionByName(not_header).unionByName(section).unionByName(columnless)
+    left, gone, n = hyp, None, 0
+    while True:
+        n += 1
+        declared = declared_violations(left, cells)
+        bad = stored(_exclusions(left).unionByName(declared.where("constraint in ('chrome_not_data', 'data_rows_contiguous')")), "bad")
+        if bad.isEmpty():
+            bad = stored(_one_header(left).unionByName(declared.where("constraint = 'one_page_title'")), "bad")
+            if bad.isEmpty():
+                break
+        out = bad.select(*_HYPOTHESIS).distinct().withColumn("round", F.lit(n))
+        gone = out if gone is None else gone.unionByName(out)
+        left = stored(without(left, bad), "left")
+    kept = left.select(*_HYPOTHESIS, F.lit(None).cast("int").alias("round"))
+    return kept if gone is None else kept.unionByName(gone)
 
 
 def resolve(hyp: DataFrame, cells: DataFrame) -> DataFrame:
     """One role per cell: of hypotheses with support above against and no violation the best net, then by priority; else unresolved."""
-    bad = violations(hyp).select(*CELL_KEY, "hypothesis", "detail").distinct().withColumnsRenamed({k: f"__{k}" for k in [*CELL_KEY, "hypothesis", "detail"]})
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in [*CELL_KEY, "hypothesis", "detail"]])
-    left = hyp.where("support > against").join(bad, same, "left_anti")
+    left = without(hyp.where("support > against"), violations(hyp))
     rank = F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("hypothesis"))
     best = left.groupBy(*CELL_KEY).agg(F.min(F.struct((F.col("against") - F.col("support")).alias("n"), rank.alias("p"), "hypothesis", "detail")).alias("b"))
     out = cells.select(*CELL_KEY, "x", "y", "text").join(best, CELL_KEY, "left")

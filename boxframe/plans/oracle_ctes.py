@@ -103,7 +103,7 @@ from features f left join win a using (doc_id) left join (select doc_id, page_id
     "indents": (["cells"], "select doc_id, xr, sum(case when g is null or g > 10 then 1 else 0 end) over (partition by doc_id order by xr) - 1 as indent_level from (select doc_id, xr, xr - lag(xr) over (partition by doc_id order by xr) as g from (select distinct doc_id, round(x) as xr from (select *, min(x) over (partition by doc_id, page_id, row_cluster) as x0 from cells) where weight = 'bold' or style_rank >= 2 or x <= x0 + 5))"),
     "evid": (
         ["pos", "stats", "cross_", "aligned", "near", "indents"],
-        """select p.*, weight = 'bold' as is_bold, style_rank >= 3 as is_rare, style_rank = 1 as is_dominant, y_frac < 0.1 as is_top_10pct, y_frac > 0.9 as is_bottom_10pct, n_pages, s.n_cells as row_n_cells, s.n_typed as row_n_typed, s.row_left, x <= s.row_left + 5 as is_leftmost, s.n_typed >= 2 as is_data_row,
+        """select p.*, weight = 'bold' as is_bold, style_rank >= 3 as is_rare, style_rank = 1 as is_dominant, p.y < y0 + (y1 - y0) * 0.1 as is_top_10pct, p.y + p.h > y1 - (y1 - y0) * 0.1 as is_bottom_10pct, n_pages, s.n_cells as row_n_cells, s.n_typed as row_n_typed, s.row_left, x <= s.row_left + 5 as is_leftmost, s.n_typed >= 2 as is_data_row,
   a.cell_id is not null as subtends_column, in_table, in_data_rows, above_data, indent_level, (weight = 'bold' or style_rank >= 2) and x <= s.row_left + 10 and s.n_typed <= 1 as is_section_label
 from pos p join stats s using (doc_id, page_id, row_cluster) left join cross_ c on p.doc_id = c.doc_id and p.text = c.text and floor(p.y / 5)::bigint = c.b left join (select distinct doc_id, page_id, row_cluster, cell_id from aligned) a using (doc_id, page_id, row_cluster, cell_id)
 join near using (doc_id, page_id, row_cluster) left join indents i on p.doc_id = i.doc_id and round(p.x) = i.xr""",

@@ -7,15 +7,14 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet under spark.checkpoint.dir and read back: later branches share it and lineage ends here.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it in spark.checkpoint.dir.
 
     Only a session in local mode gets a temporary folder without that setting; on a cluster it is needed.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         master = spark.conf.get("spark.master", "")
@@ -24,6 +23,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         folder = tempfile.mkdtemp(prefix="boxframe-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/boxframe-{uuid.uuid4().hex}/{name}"
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet to the shared folder and read back: later branches share it and lineage ends here."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/boxframe-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders in a folder; none if it is not there."""
+    p, fs = _path(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory()] if fs.exists(p) else []

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
+from ..sinks import artifact
 from ..sources import documents
 
 
@@ -30,8 +34,16 @@ def latest(feed: DataFrame) -> DataFrame:
     return feed.groupBy("url", "tag", "x", "y").agg(F.max_by(F.struct("text", "mutation_type", "t_ms"), F.struct("t_ms", "text")).alias("v")).select("url", "tag", "x", "y", "v.*")
 
 
+def committed(contents: DataFrame, out: str, parse: Callable[[DataFrame], DataFrame] = documents.parse) -> DataStreamWriter:
+    """A writer that commits the artifacts of a stream of doc_id and content, a micro-batch at a time; repeats are not parsed again."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        artifact.commit(batch, out, number, parse=parse)
+
+    return contents.writeStream.foreachBatch(each)
+
+
 def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str):
-    """Starts appending the boxes of new files of a folder; a file's path hash is its doc_id."""
+    """Starts committing the artifacts of new files of a folder; a file's path hash is its doc_id, its content decides whether it is new."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", 1000).load(folder).select(F.xxhash64("path").alias("doc_id"), "content")
-    boxes = documents.table(documents.parse(files), "bboxes")
-    return boxes.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    return committed(files, out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -84,7 +84,10 @@ def test_ingest_and_latest(spark, tmp_path):
     (tmp_path / "in" / "b.html").write_text("<html><body><p>z</p></body></html>")
     q = streams.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"))
     q.awaitTermination(60)
-    assert sorted(x.text for x in spark.read.parquet(str(tmp_path / "out")).collect()) == ["x", "y", "z"]
+    assert sorted(x.text for x in artifact.scan(spark, str(tmp_path / "out")).collect()) == ["x", "y", "z"]
+    (tmp_path / "in" / "c.txt").write_text("x\ny")  # the content is there already
+    streams.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(60)
+    assert artifact.scan(spark, str(tmp_path / "out")).count() == 3
     feed = spark.createDataFrame([("u", "p", 1.0, 1.0, "old", "added", 1.0), ("u", "p", 1.0, 1.0, "new", "changed", 2.0)], "url string, tag string, x double, y double, text string, mutation_type string, t_ms double")
     assert [x.text for x in streams.latest(feed).collect()] == ["new"]
 
@@ -93,7 +96,7 @@ def test_artifacts_are_written_once(spark, tmp_path):
     df = spark.createDataFrame([(1, bytearray(b"a\nb")), (2, bytearray(b"a\nb")), (3, bytearray(b"c"))], "doc_id long, content binary")
     assert artifact.write(df, str(tmp_path / "art")) == 2
     assert artifact.write(df, str(tmp_path / "art")) == 0
-    assert spark.read.parquet(str(tmp_path / "art/boxes")).count() == 3
+    assert artifact.scan(spark, str(tmp_path / "art")).count() == 3
 
 
 def test_merged_fragments_use_the_height_of_the_cells_first(spark):
