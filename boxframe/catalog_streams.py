@@ -23,6 +23,16 @@ w as (select date_trunc('millisecond', max(ts) filter (slice < 3)) - interval '1
 arrived as (select s.* from s, w where slice < 3 or {{end}} > mark)"""
 
 
+def moments(s: SparkSession, d: str) -> DataFrame:
+    """The events with their wall-clock times as instants (in UTC), which watermarks need."""
+    return events(s, d).withColumn("ts", F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
+
+
+def clock(df: DataFrame, *columns: str) -> DataFrame:
+    """Instants as wall-clock times again."""
+    return df.withColumns({c: F.to_utc_timestamp(F.col(c), F.current_timezone()).cast("timestamp_ntz") for c in columns})
+
+
 def third(rows: DataFrame) -> Column:
     """0, 1 or 2 by the place of ts between its first and last value, which one aggregate tells."""
     lo, hi = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
@@ -36,8 +46,8 @@ def _late(rows: DataFrame) -> Column:
 @query(f"with {_ARRIVED.format(end="time_bucket(interval '1 hour', ts) + interval '1 hour'")} select time_bucket(interval '1 hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from arrived group by all")
 def live_tumbling(s: SparkSession, d: str) -> DataFrame:
     """Hourly counts; of the events that come last only those count whose window the watermark has not passed."""
-    rows = events(s, d)
-    return appended(rows, _late(rows), 4, streams.tumbling_counts, "ts")
+    rows = moments(s, d)
+    return clock(appended(rows, _late(rows), 4, streams.tumbling_counts, "ts"), "window_start")
 
 
 @query(
@@ -45,36 +55,36 @@ def live_tumbling(s: SparkSession, d: str) -> DataFrame:
     " from (select user_id, ts, ts - lag(ts) over (partition by user_id order by ts) as g from arrived)) group by user_id, k"
 )
 def live_sessions(s: SparkSession, d: str) -> DataFrame:
-    rows = events(s, d)
-    return appended(rows, _late(rows), 4, streams.sessions, "ts")
+    rows = moments(s, d)
+    return clock(appended(rows, _late(rows), 4, streams.sessions, "ts"), "session_start", "session_end")
 
 
 SIZE, SPAN_MS, OUT_OF_ORDER = 8, 3 * 86_400_000, 5
 
 
 @query(
-    f"""with recursive e as materialized (select user_id as source, event_id as id, epoch_us(ts) as at, row_number() over (partition by user_id order by ts, event_id) as k from events where user_id is not null),
-n as materialized (select source, id, k, at, least(k + {SIZE - 1}, max(k) over (partition by source order by at range between current row and {SPAN_MS * 1000 - 1} following)) as stop from e),
+    f"""with recursive e as materialized (select user_id as source, event_id as id, epoch_us(ts) as t, row_number() over (partition by user_id order by ts, event_id) as k from events where user_id is not null),
+n as materialized (select source, id, k, t, least(k + {SIZE - 1}, max(k) over (partition by source order by t range between current row and {SPAN_MS * 1000 - 1} following)) as stop from e),
 chain as (select source, 1::bigint as k, 0::bigint as batch from n where k = 1 union all select c.source, after.k, c.batch + 1 from chain c join n on n.source = c.source and n.k = c.k join n after on after.source = c.source and after.k = n.stop + 1)
-select source, batch, case when stop - k + 1 = {SIZE} then 'size' else 'time' end as reason, stop - k + 1 as n, at as first_at,
+select source, batch, case when stop - k + 1 = {SIZE} then 'size' else 'time' end as reason, stop - k + 1 as n, t as first_at,
   (select string_agg(e.id::varchar, ',' order by e.k) from e where e.source = n.source and e.k between n.k and n.stop) as ids
 from chain join n using (source, k)"""
 )
 def live_feed(s: SparkSession, d: str) -> DataFrame:
     """Batches of each user's events, of eight or of three days; a fifth of the events arrives a slice late, within the watermark."""
-    rows = events(s, d).where("user_id is not null")
+    rows = moments(s, d).where("user_id is not null")
     slices = third(rows) + F.when(F.col("event_id") % OUT_OF_ORDER == 0, 1).otherwise(0)
     records = rows.select(F.col("user_id").cast("long").alias("source"), F.col("event_id").alias("id"), "ts", slices.alias("slice"))
     # The lateness that the watermark allows for is the table's own span: slices are thirds of it.
     days = rows.agg(F.date_diff(F.max("ts"), F.min("ts"))).first()[0] or 0
-    out = appended(records, F.col("slice"), 4, lambda stream: feed.flushed(stream.where("source is not null or slice is null"), f"{days + 1} days", SIZE, SPAN_MS), "ts")
+    out = appended(records, F.col("slice"), 4, lambda stream: feed.flushed(stream, f"{days + 1} days", SIZE, SPAN_MS), "ts")
     return out.where("source is not null").select("source", "batch", "reason", "n", "first_at", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
 
 
 @query("select user_id, event_type, ts, event_id, value from events qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1")
 def live_latest(s: SparkSession, d: str) -> DataFrame:
     """The last event of each user and type, merged slice by slice; the slices come out of order."""
-    rows = events(s, d).select("user_id", "event_type", "ts", "event_id", "value")
+    rows = moments(s, d).select("user_id", "event_type", "ts", "event_id", "value")
     folder = new_folder(s)
 
     def start(stream: DataFrame) -> DataStreamWriter:
@@ -82,7 +92,7 @@ def live_latest(s: SparkSession, d: str) -> DataFrame:
 
     replay(rows, F.pmod(F.xxhash64("event_id"), F.lit(3)), 3, folder, start)
     state = latest.current(s, f"{folder}/state")
-    return (rows.limit(0) if state is None else state).select(*rows.columns)
+    return clock((rows.limit(0) if state is None else state).select(*rows.columns), "ts")
 
 
 @query(

@@ -24,14 +24,14 @@ STATUSES = ("write", "metadata-only", "rejected", "dedup")
 
 def batches(spark: SparkSession, folder: str, below: int | None = None) -> list[int]:
     """The numbers of the committed batches."""
-    found = [int(n.removeprefix("batch=")) for n in folders(spark, folder) if n.startswith("batch=")]
-    return sorted(n for n in found if (below is None or n < below) and exists(spark, f"{folder}/batch={n}/headers/_SUCCESS"))
+    found = [int(n.removeprefix("batch=")) for n in folders(spark, f"{folder}/headers") if n.startswith("batch=")]
+    return sorted(n for n in found if (below is None or n < below) and exists(spark, f"{folder}/headers/batch={n}/_SUCCESS"))
 
 
 def headers(spark: SparkSession, folder: str, below: int | None = None) -> DataFrame | None:
     """sha, status, n_boxes and the document's fields of all committed batches."""
-    paths = [f"{folder}/batch={n}/headers" for n in batches(spark, folder, below)]
-    return spark.read.option("basePath", folder).parquet(*paths) if paths else None
+    paths = [f"{folder}/headers/batch={n}" for n in batches(spark, folder, below)]
+    return spark.read.option("basePath", f"{folder}/headers").parquet(*paths) if paths else None
 
 
 def commit(df: DataFrame, folder: str, number: int, content: str = "content", parse: Callable[[DataFrame], DataFrame] = documents.parse) -> dict[str, int]:
@@ -48,13 +48,12 @@ def commit(df: DataFrame, folder: str, number: int, content: str = "content", pa
     parsed = stored(parse(new.select(F.xxhash64("sha").alias("doc_id"), "content")).select(F.col("doc_id").alias("h"), "doc", "bboxes"), "parsed")
     told = new.select("sha", "doc_id", F.xxhash64("sha").alias("h")).join(parsed, "h", "left").drop("h")
     boxes = told.select("sha", F.inline("bboxes")).withColumn("band", F.floor(F.col("page_id") / BAND).cast("int"))
-    target = f"{folder}/batch={number}"
-    boxes.repartition("band", "sha").sortWithinPartitions("band", "sha", "page_id", "y", "x").write.mode("overwrite").option("compression", "zstd").partitionBy("band").parquet(f"{target}/boxes")
+    boxes.repartition("band", "sha").sortWithinPartitions("band", "sha", "page_id", "y", "x").write.mode("overwrite").option("compression", "zstd").partitionBy("band").parquet(f"{folder}/boxes/batch={number}")
     n = F.coalesce(F.size("bboxes"), F.lit(0))
     status = F.when(F.col("doc").isNull(), "rejected").when(n == 0, "metadata-only").otherwise("write")
     seen_now = Observation()
     kept = told.select("sha", "doc_id", status.alias("status"), n.cast("long").alias("n_boxes"), "doc.*").observe(seen_now, *[F.count_if(F.col("status") == s).alias(s) for s in STATUSES])
-    kept.write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/headers")
+    kept.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/headers/batch={number}")
     out = {s: int(seen_now.get[s]) for s in STATUSES}
     total = rows.agg(F.count("*").alias("n"), F.count_if(F.col("sha").isNull()).alias("none")).first()
     fresh = sum(out.values())
@@ -73,11 +72,11 @@ def scan(spark: SparkSession, folder: str, first_page: int | None = None, last_p
 
     Bands outside of the range are left out when files are listed; within a band the range reaches the row groups.
     """
-    paths = [f"{folder}/batch={n}/boxes" for n in batches(spark, folder)]
+    paths = [f"{folder}/boxes/batch={n}" for n in batches(spark, folder)]
     paths = [p for p in paths if any(n.startswith("band=") for n in folders(spark, p))]
     if not paths:
         return spark.createDataFrame([], f"sha string, {documents.BOX}, band int, batch int")
-    rows = spark.read.option("basePath", folder).parquet(*paths)
+    rows = spark.read.option("basePath", f"{folder}/boxes").parquet(*paths)
     if first_page is not None:
         rows = rows.where((F.col("page_id") >= first_page) & (F.col("band") >= first_page // BAND))
     if last_page is not None:

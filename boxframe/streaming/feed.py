@@ -91,6 +91,6 @@ def flushed(feed: DataFrame, late: str, size: int = FLUSH_SIZE, ms: int = FLUSH_
     Records later than the watermark are dropped, as anywhere in a stream. The session gets the state store that lists and timers need.
     """
     feed.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    rows = feed.withWatermark("ts", late).selectExpr("source", "id", "unix_micros(ts) as at", "ts")
+    rows = feed.withWatermark("ts", late).selectExpr("source", "coalesce(id, -1) as id", "unix_micros(ts) as at", "ts")
     schema = "source long, batch long, reason string, n long, first_at long, ids array<long>"
     return rows.groupBy("source").transformWithStateInPandas(Flush(size, ms), schema, "Append", "EventTime")

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from ..plans.store import exists, folders
 
 BUCKETS = 64
+#: Names of the folders, and columns that no feed may have.
+VERSION, BUCKET = "bf_version", "bf_bucket"
 
 
 def _versions(spark: SparkSession, folder: str, below: int | None = None) -> list[int]:
-    found = [int(n.removeprefix("v=")) for n in folders(spark, folder) if n.startswith("v=")]
-    return sorted(v for v in found if (below is None or v < below) and exists(spark, f"{folder}/v={v}/_SUCCESS"))
+    found = [int(n.removeprefix(f"{VERSION}=")) for n in folders(spark, folder) if n.startswith(f"{VERSION}=")]
+    return sorted(v for v in found if (below is None or v < below) and exists(spark, f"{folder}/{VERSION}={v}/_SUCCESS"))
 
 
 def current(spark: SparkSession, folder: str, below: int | None = None) -> DataFrame | None:
@@ -25,24 +27,24 @@ def current(spark: SparkSession, folder: str, below: int | None = None) -> DataF
     versions = _versions(spark, folder, below)
     if not versions:
         return None
-    rows = spark.read.option("basePath", folder).parquet(*[f"{folder}/v={v}" for v in versions])
+    rows = spark.read.option("basePath", folder).parquet(*[f"{folder}/{VERSION}={v}" for v in versions])
     # One row for each bucket: a proven bound.
-    newest = F.broadcast(rows.groupBy("bucket").agg(F.max("v").alias("v")))
-    return rows.join(newest, ["bucket", "v"])
+    newest = F.broadcast(rows.groupBy(BUCKET).agg(F.max(VERSION).alias(VERSION)))
+    return rows.join(newest, [BUCKET, VERSION])
 
 
 def merge(batch: DataFrame, number: int, folder: str, key: list[str], order: list[str], buckets: int = BUCKETS) -> None:
     """Merges a micro-batch into the table; of a node's rows the greatest by order stays. Rows with equal order are the same row."""
     spark = batch.sparkSession
     rest = [c for c in batch.columns if c not in key]
-    rows = batch.withColumn("bucket", _bucket(key, buckets))
+    rows = batch.withColumn(BUCKET, _bucket(key, buckets))
     before = current(spark, folder, number)
     if before is not None:
-        touched = F.broadcast(rows.select("bucket").distinct())  # at most `buckets` rows
-        rows = rows.unionByName(before.drop("v").join(touched, "bucket", "left_semi"))
-    best = rows.groupBy("bucket", *key).agg(F.max(F.struct(*order, *[c for c in rest if c not in order])).alias("best"))
-    best = best.select("bucket", *key, *[F.col(f"best.{c}").alias(c) for c in rest])
-    best.select(*batch.columns, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/v={number}")
+        touched = F.broadcast(rows.select(BUCKET).distinct())  # at most `buckets` rows
+        rows = rows.unionByName(before.drop(VERSION).join(touched, BUCKET, "left_semi"))
+    best = rows.groupBy(BUCKET, *key).agg(F.max(F.struct(*order, *[c for c in rest if c not in order])).alias("best"))
+    best = best.select(BUCKET, *key, *[F.col(f"best.{c}").alias(c) for c in rest])
+    best.select(*batch.columns, BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{folder}/{VERSION}={number}")
 
 
 def _bucket(key: list[str], buckets: int) -> Column:
