@@ -173,7 +173,7 @@ def column_headers(s: SparkSession, d: str) -> DataFrame:
     return geometry.column_headers(t, r, geometry.putative_columns(t, r))
 
 
-@query(sql(f"select {KEY}, indent_level from cells c join indents i on c.doc_id = i.doc_id and round(c.x) = i.xr".replace("doc_id,", "c.doc_id,", 1), ["cells", "indents"]))
+@query(sql(f"select {KEY}, indent_level from (select {KEY}, round(x) as xr from cells) join indents using (doc_id, xr)", ["cells", "indents"]))
 def indent_levels(s: SparkSession, d: str) -> DataFrame:
     return geometry.indent_levels(geometry.document_cells(report(s, d))).select(*CELL_KEY, "indent_level")
 
