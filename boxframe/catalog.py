@@ -525,4 +525,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-from . import catalog_evaluation, catalog_evidence, catalog_files, catalog_io, catalog_metadata, catalog_more, catalog_streams  # noqa: E402, F401  register their queries
+from . import catalog_evaluation, catalog_evidence, catalog_files, catalog_io, catalog_metadata, catalog_more, catalog_scalars, catalog_streams  # noqa: E402, F401  register their queries

@@ -22,9 +22,18 @@ def pdf_char_runs(s: SparkSession, d: str) -> DataFrame:
     return sequential.char_runs(c).drop("ord")
 
 
-@query(sql("select doc_id, page_id, ord, dense_rank() over (partition by doc_id, page_id order by y) as row_cluster from boxes", ["boxes"]))
+# A box's step depends on the one before: one step a round, for all pages at once.
+_STEPS = """with recursive o as materialized (select doc_id, page_id, ord, mid, row_number() over (partition by doc_id, page_id order by mid, x, ord) as k, greatest(0.6 * quantile_cont(h, 0.5) over (partition by doc_id, page_id), 3.0) as tol
+  from (select doc_id, page_id, ord, x, h, y + ord * 7 % 13 * 1.2 + h / 2 as mid from boxes)),
+r as (select doc_id, page_id, ord, k, 1::bigint as row_cluster, mid as centre, 1 as n from o where k = 1 union all
+  select o.doc_id, o.page_id, o.ord, o.k, case when abs(o.mid - centre) > tol then row_cluster + 1 else row_cluster end, case when abs(o.mid - centre) > tol then o.mid else centre + (o.mid - centre) / (n + 1) end, case when abs(o.mid - centre) > tol then 1 else n + 1 end
+  from r join o on o.doc_id = r.doc_id and o.page_id = r.page_id and o.k = r.k + 1)"""
+
+
+@query(sql(f"select * from ({_STEPS} select doc_id, page_id, ord, row_cluster from r)", ["boxes"]))
 def centroid_rows(s: SparkSession, d: str) -> DataFrame:
-    return sequential.centroid_rows(report(s, d))
+    """Rows of boxes whose heights waver by more than half a line, so that the running mean drifts."""
+    return sequential.centroid_rows(report(s, d).withColumn("y", F.col("y") + F.col("ord") * 7 % 13 * 1.2))
 
 
 @query(sql("select doc_id, page_id, row_number() over (partition by doc_id, page_id order by start_row) as table_no, start_row, end_row, n_rows from (select doc_id, page_id, seg, min(row_cluster) as start_row, max(row_cluster) as end_row, count(*) as n_rows from (select *, sum(case when n_cells < 2 then 1 else 0 end) over (partition by doc_id, page_id order by row_cluster) as seg from stats) where n_cells >= 2 group by all having count(*) >= 2)", ["stats"]))

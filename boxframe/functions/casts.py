@@ -25,6 +25,25 @@ def try_day(c: Column) -> Column:
     return F.when(c.rlike(DATE), day.try_cast("date"))
 
 
+def try_integer(c: Column, kind: str = "bigint") -> Column:
+    """The integer nearest to the number that a text denotes, halves away from zero; null out of range or for no number."""
+    plain = F.replace(F.trim(c), F.lit("_"), F.lit(""))
+    return F.when(c.rlike(NUMBER), F.round(plain.try_cast("decimal(38,18)"), 0).try_cast(kind))
+
+
+MOMENT = r"^\s*(\d{1,6})([-/ \\])(\d{1,2})\2(\d{1,2})(?:[T ](\d{1,2}):(\d{1,2})(?::(\d{1,2}(?:\.\d{1,6})?))?)?\s*\z"
+
+
+def try_moment(c: Column) -> Column:
+    """The time of a date (as try_day takes it), with hours and minutes, and seconds, if there are any; without a zone. Null otherwise."""
+    part = lambda g: F.regexp_extract(c, MOMENT, g)
+    two = lambda g: F.lpad(F.when(part(g) == "", "0").otherwise(part(g)), 2, "0")
+    year = F.when(F.length(part(1)) > 4, part(1)).otherwise(F.lpad(part(1), 4, "0"))
+    seconds = F.when(part(7).rlike(r"^\d(\.|\z)"), F.concat(F.lit("0"), part(7))).when(part(7) == "", "00").otherwise(part(7))
+    text = F.concat(year, F.lit("-"), two(3), F.lit("-"), two(4), F.lit(" "), two(5), F.lit(":"), two(6), F.lit(":"), seconds)
+    return F.when(c.rlike(MOMENT), text.try_cast("timestamp_ntz"))
+
+
 def is_number(c: Column) -> Column:
     return try_number(c).isNotNull()
 

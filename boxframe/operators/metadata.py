@@ -126,7 +126,11 @@ def container_walk(data: bytes, path: str = "", depth: int = 0) -> list[dict]:
     z = _zip(data) if kind == "zip" else None
     package = z is not None and any(n in z.namelist() for n in OOXML)
     out = [{"path": path, "depth": depth, "dialect": "ooxml" if package else kind, "size": len(data), "sha256": hashlib.sha256(data).hexdigest()}]
-    if z is not None and not package and depth < MAX_DEPTH:
+    if z is not None and not package:
+        out[0]["member_count"] = len(z.namelist())
+        if depth >= MAX_DEPTH:
+            out[0]["truncated"] = "max depth"
+            return out
         for n in z.namelist():
             if not n.endswith("/"):
                 out += container_walk(z.read(n), f"{path}/{n}", depth + 1)

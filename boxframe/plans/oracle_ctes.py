@@ -116,15 +116,51 @@ from evid e left join (select doc_id, page_id, row_cluster, arg_min(text, cell_i
 }
 
 
-def _quote(v: object) -> str:
-    return f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else f"{v}::double"
+# What a feature's value adds to col_header, section_label, row_label, dimension and prose, by tag; a dot is nothing.
+WEIGHTS = """
+default              f_pattern_match       true   -5.0  -5.0  -5.0  -5.0  -3.0
+default              f_pattern_match       false   0.5     .     .   0.5   0.5
+default              f_subtends_col        true    2.0  -1.0     .     .     .
+default              f_subtends_col        false  -1.5     .     .     .     .
+default              f_row_above_data      true    2.5  -1.0     .     .     .
+default              f_row_above_data      false  -1.0     .     .     .     .
+default              f_in_data_region      true      .     .   1.5   1.5  -1.0
+default              f_in_data_region      false     .     .  -1.0  -2.0     .
+default              f_in_table            true      .     .     .   1.0  -1.0
+default              f_in_table            false     .     .     .  -1.0   2.0
+default              f_bold                true    0.3   1.5   0.3     .     .
+default              f_bold                false     .  -0.5     .     .   0.5
+default              f_rare_style          true      .   1.0     .     .  -0.5
+default              f_rare_style          false     .     .     .     .   0.3
+default              f_leftmost            true      .   1.0   2.0     .     .
+default              f_leftmost            false     .  -1.0  -2.0   0.5     .
+default              f_no_measures_in_row  true      .   1.5     .     .   0.5
+default              f_no_measures_in_row  false     .  -2.0   0.5     .  -0.5
+default              f_cell_count_match    true    1.0     .     .     .     .
+default              f_cell_count_match    false  -0.5     .     .     .     .
+default              f_large_font          true      .   1.5     .     .     .
+default              f_large_font          false     .   0.0     .     .     .
+default              f_year_text           true    2.0  -2.0  -1.0   1.0  -3.0
+financial_statement  f_bold                true      .   0.5  -0.5     .     .
+financial_statement  f_leftmost            true      .   0.5     .     .     .
+financial_statement  f_no_measures_in_row  true      .   0.5     .     .     .
+financial_statement  f_no_measures_in_row  false     .     .   0.5     .     .
+tax_form             f_bold                true    0.5     .     .     .     .
+tax_form             f_rare_style          true    0.5     .     .     .     .
+tax_form             f_subtends_col        true    0.5     .     .     .     .
+tax_form             f_subtends_col        false  -2.0     .     .     .     .
+journal_paper        f_in_table            false     .     .     .     .   1.0
+journal_paper        f_rare_style          true      .   0.5     .     .     .
+journal_paper        f_large_font          true      .   1.0     .     .     .
+"""
 
 
 def weights_cte() -> str:
-    from ..operators.scoring import weight_rows
-
-    rows = ", ".join("(" + ", ".join(map(_quote, r)) + ")" for r in weight_rows())
-    return f"select * from (values {rows}) as t(tag, feature, val, role, weight)"
+    rows = []
+    for line in WEIGHTS.strip().splitlines():
+        tag, feature, value, *weights = line.split()
+        rows += [f"('{tag}', '{feature}', {value}, '{role}', {w}::double)" for role, w in zip(("col_header", "section_label", "row_label", "dimension", "prose"), weights, strict=True) if w != "."]
+    return f"select * from (values {', '.join(rows)}) as t(tag, feature, val, role, weight)"
 
 
 def sql(select: str, needs: list[str], boxes: str = "report_boxes") -> str:
