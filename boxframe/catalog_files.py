@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from .catalog import _MEMBERS, _TOKENS, docs, query, report, table, vocabulary
 from .operators import domains, geometry, sequential
 from .plans.oracle_ctes import sql
+from .plans.store import stored
 from .schema import CELL_KEY
-from .sources import documents, text
+from .sources import elements, text
 
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
@@ -68,7 +69,7 @@ def docx_bboxes(s: SparkSession, d: str) -> DataFrame:
     head = F.concat(F.lit("<w:tbl><w:tr>"), cell(para(F.lit("Orders")), '<w:gridSpan w:val="2"/>'), cell(para(F.lit("Priority"))), F.lit("</w:tr>"))
     body = F.concat(F.lit(f'<w:document xmlns:w="{_WORD}"><w:body>'), para(F.concat(F.lit("Customer "), F.col("doc_id"))), F.lit("<w:p/>"), head, F.col("rows"), F.lit("</w:tbl><w:p><w:r><w:t>a</w:t><w:tab/><w:t>b</w:t></w:r></w:p></w:body></w:document>"))
     files = _per_customer(s, d, row).select("doc_id", _packed(body, "word/document.xml", {}).alias("content"))
-    return documents.table(documents.parse(files, fmt="docx"), "bboxes").select("doc_id", "x", "y", "w", "h", "text")
+    return elements.docx_boxes(elements.docx(files)).select("doc_id", "x", "y", "w", "h", "text")
 
 
 @query(
@@ -91,7 +92,7 @@ def xlsx_bboxes(s: SparkSession, d: str) -> DataFrame:
     row = F.concat(F.lit("<row>"), *cells, F.lit("</row>"))
     body = F.concat(F.lit(f'<worksheet xmlns="{_MAIN}"><sheetData>{head}'), F.col("rows"), F.lit('</sheetData><mergeCells><mergeCell ref="A1:B1"/></mergeCells></worksheet>'))
     files = _per_customer(s, d, row).select("doc_id", _packed(body, "xl/worksheets/sheet1.xml", _BOOK).alias("content"))
-    return documents.table(documents.parse(files, fmt="xlsx"), "bboxes").drop("page_id")
+    return elements.xlsx_boxes(stored(elements.xlsx(files), "elements")).drop("page_id")
 
 
 _SPACED = "(select doc_id, page_id, (y / 12)::bigint as row_cluster, ord, x * 4 as x, w * 3 + case when w % 3 = 0 then w + 2 else 0 end as w, h, text from word_boxes)"

@@ -13,7 +13,7 @@ from .plans.store import stored
 from .schema import PAGE_KEY
 from .sinks import json as json_sink
 from .sinks import xfdf as xfdf_sink
-from .sources import documents, text
+from .sources import documents, elements, text
 from .streaming import boxes as streams
 
 # -- readers over bytes ---------------------------------------------------------------------------
@@ -24,14 +24,34 @@ def html_pages(s: SparkSession, d: str) -> DataFrame:
     return stored(documents.parse(p), "parsed")
 
 
-@query()
+# The pages have headings, list items and paragraphs, some cut off, but no tables: blocks are what stands between block tags.
+_BLOCK = "p|li|h1|h2|h3|h4|h5|h6|ul|ol|nav|div|article|section|footer|header|body|html|head"
+_HTML = rf"""with plain as (select page_id, regexp_replace(regexp_replace(html, '<(script|style|title)\b[^>]*>.*?</(script|style|title)>', '', 'gs'), '<!--.*?-->', '', 'gs') as t from pages),
+pieces as (select page_id, i, p[i] as piece from (select page_id, p, unnest(range(2, len(p) + 1)) as i from (select page_id, string_split(regexp_replace(t, '<(/?({_BLOCK}))(?:\s[^>]*)?>', chr(1) || '\1' || chr(2), 'g'), chr(1)) as p from plain))),
+blocks as (select page_id, i, split_part(piece, chr(2), 1) as tag, regexp_replace(split_part(piece, chr(2), 2), '<[^>]*>', '', 'g') as raw from pieces),
+texts as (select page_id, i, tag, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '\u00A9'), '&amp;?', '&', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) as text from blocks where tag in ('p', 'li', 'h1'))
+select page_id as doc_id, 0 as page_id, 0 as style_id, case when tag = 'li' then 2.0 else 1.0 end::double as x, (row_number() over (partition by texts.page_id order by i) - 1)::double as y, strlen(text)::double as w, 1.0::double as h, 'string' as cell_type, null::double as vnum, null::boolean as vbool, text, null::varchar as formula
+from texts where text <> ''"""
+
+
+@query(_HTML)
 def html_bboxes(s: SparkSession, d: str) -> DataFrame:
-    return documents.table(html_pages(s, d), "bboxes")
+    p = table(s, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").cast("binary").alias("content"))
+    return elements.html_boxes(elements.html(p))
+
+
+@query(f"select -1 - doc_id as doc_id, x, y, w, text from ({_HTML}) h union all " + sql("select doc_id, 1.0::double, (i + 1)::double, strlen(line)::double, line from lines where line <> ''", ["lines"]).replace("with lines as materialized (", "select * from (with lines as materialized (", 1) + ") t")
+def auto_bboxes(s: SparkSession, d: str) -> DataFrame:
+    """Contents of two formats in one column, each read by its own reader."""
+    pages = table(s, d, "pages").select((-1 - F.col("page_id")).alias("doc_id"), F.col("html").cast("binary").alias("content"))
+    both = docs(s, d).select("doc_id", F.col("text").cast("binary").alias("content")).unionByName(pages)
+    return elements.boxes(both).select("doc_id", "x", "y", "w", "text")
 
 
 @query("select page_id as doc_id, 0 as document_id, 'html' as source_type, null::varchar as filename, sha256(html) as checksum, 1 as page_count from pages")
 def html_doc(s: SparkSession, d: str) -> DataFrame:
-    return documents.table(html_pages(s, d), "doc")
+    p = table(s, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").cast("binary").alias("content"))
+    return elements.doc(p)
 
 
 @query("select page_id as doc_id, 0 as style_id, 0 as font_id, 12.0::double as font_size, 'rgba(0,0,0,255)' as color, 'normal' as weight, 0 as italic, 0 as underline, 'default' as name from pages")
