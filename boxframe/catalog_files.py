@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import _MEMBERS, _TOKENS, docs, query, report, table, vocabulary
-from .operators import domains, geometry, sequential
+from .operators import containers, domains, geometry, sequential
 from .plans.oracle_ctes import sql
 from .plans.store import stored
 from .schema import CELL_KEY
@@ -142,3 +142,35 @@ def join_disjunction(s: SparkSession, d: str) -> DataFrame:
 def tokens_without_domain(s: SparkSession, d: str) -> DataFrame:
     """The negative space of the vocabularies: tokens that none of them has, with their cells."""
     return domains.unknown_tokens(geometry.document_cells(report(s, d)), CELL_KEY, vocabulary(s, d))
+
+
+@F.pandas_udf("binary")
+def _archive(inner: pd.Series, note: pd.Series, sheet: pd.Series) -> pd.Series:
+    """An archive of an archive, a note, a folder and a workbook."""
+
+    def one(a: bytes, b: str, c: bytes) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("deep/inner.zip", a)
+            z.writestr("deep/", b"")
+            z.writestr("note.xml", b)
+            z.writestr("book.xlsx", c)
+        return out.getvalue()
+
+    return pd.Series([one(a, b, c) for a, b, c in zip(inner, note, sheet, strict=True)])
+
+
+@query(
+    """select doc_id, path, depth, dialect, size, sha256, member_count from (select o_custkey as doc_id, string_agg(o_orderkey || chr(10), '' order by o_orderkey) as body, '<?xml version="1.0"?><n>' || count(*) || '</n>' as note from orders group by o_custkey) o,
+lateral (values ('', 0, 'zip', null, null, 4), ('/deep/inner.zip', 1, 'zip', null, null, 1), ('/deep/inner.zip/orders.txt', 2, 'other', strlen(body), sha256(body), null), ('/note.xml', 1, 'xml', strlen(note), sha256(note), null), ('/book.xlsx', 1, 'ooxml', null, null, 2)) as t(path, depth, dialect, size, sha256, member_count)"""
+)
+def container_tree(s: SparkSession, d: str) -> DataFrame:
+    """Each customer's orders in archives within archives, and the tree of what is found in them. Archives are told without size and hash."""
+    o = table(s, d, "orders").groupBy(F.col("o_custkey").cast("long").alias("doc_id")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("k"))
+    body = F.array_join(F.transform("k", lambda k: F.concat(k.cast("string"), F.lit("\n"))), "")
+    note = F.concat(F.lit('<?xml version="1.0"?><n>'), F.size("k").cast("string"), F.lit("</n>"))
+    book = _packed(F.lit("<x/>"), "[Content_Types].xml", {"xl/other.xml": "<x/>"})
+    files = o.select("doc_id", _archive(_packed(body, "orders.txt", {}), note, book).alias("content"))
+    t = containers.walk(files)
+    known = lambda c: F.when(F.col("dialect").isin("other", "xml"), F.col(c)).alias(c)
+    return t.select("doc_id", "path", "depth", "dialect", known("size"), known("sha256"), "member_count")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalog import docs, query, report, table
 from .functions import casts
-from .operators import evaluate, geometry, metadata
+from .operators import containers, evaluate, geometry, metadata
 from .plans.oracle_ctes import sql
 from .plans.store import stored
 from .schema import PAGE_KEY
@@ -81,8 +81,7 @@ def document_headers(s: SparkSession, d: str) -> DataFrame:
 
 @query("select doc_id, '' as path, 0 as depth, 'other' as dialect, strlen(text)::bigint as size from documents where text <> ''")
 def container_rows(s: SparkSession, d: str) -> DataFrame:
-    h = docs(s, d).where("text <> ''").select("doc_id", metadata.as_json("container_walk", F.col("text").cast("binary")).alias("j"))
-    return h.select("doc_id", F.inline(F.from_json("j", "array<struct<path:string,depth:int,dialect:string,size:long>>")))
+    return containers.walk(docs(s, d), "text").select("doc_id", "path", "depth", "dialect", "size")
 
 
 # -- sinks ----------------------------------------------------------------------------------------

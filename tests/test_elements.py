@@ -5,6 +5,7 @@ import random
 import zipfile
 from collections import Counter
 
+from boxframe.operators import containers
 from boxframe.sources import documents, elements, readers
 
 HTML = [
@@ -61,3 +62,18 @@ def test_xlsx(spark):
     pages = {(x.page_id, x.name, x.width, x.height) for x in elements.xlsx_pages(found).where("doc_id = 0").collect()}
     assert pages == {(0, "one", 27.0, 11.0), (2, "two", 2.0, 2.0)}
     assert readers.read_xlsx(zipped(parts)).pages == [(0, 27.0, 11.0), (2, 2.0, 2.0)]
+
+
+def test_containers_level_by_level(spark):
+    inner = zipped({"a.txt": "x", "b.pdf": b"%PDF-1.4", "d/": ""})
+    deep = b"bottom"
+    for i in range(4):
+        deep = zipped({f"l{i}.zip" if i else "l.txt": deep})
+    data = [zipped({"in.zip": inner, "o.docx": zipped({"[Content_Types].xml": "<x/>", "word/document.xml": "<x/>"}), "x.xml": "\n<?xml?>", "bad.zip": b"PK\x03\x04no"}), deep, b"plain", b"", None]
+    df = spark.createDataFrame([(i, bytearray(x) if x is not None else None) for i, x in enumerate(data)], "doc_id long, content binary")
+    got = {(x.doc_id, x.path): x for x in containers.walk(df, max_depth=2).collect()}
+    assert {k: v.dialect for k, v in got.items() if k[0] == 0} == {(0, ""): "zip", (0, "/in.zip"): "zip", (0, "/in.zip/a.txt"): "other", (0, "/in.zip/b.pdf"): "pdf", (0, "/o.docx"): "docx", (0, "/x.xml"): "xml", (0, "/bad.zip"): "zip"}
+    assert (got[0, ""].member_count, got[0, "/in.zip"].member_count, got[0, "/bad.zip"].member_count, got[0, "/bad.zip"].truncated) == (4, 3, None, None)
+    assert {k: (v.depth, v.truncated) for k, v in got.items() if k[0] == 1} == {(1, ""): (0, None), (1, "/l3.zip"): (1, None), (1, "/l3.zip/l2.zip"): (2, "max depth")}
+    assert got[0, "/in.zip/a.txt"].size == 1 and got[2, ""].dialect == "other" and len([k for k in got if k[0] > 2]) == 0
+    assert containers.walk(df.where("false")).count() == 0
