@@ -80,6 +80,17 @@ def docx_bboxes(s: SparkSession, d: str) -> DataFrame:
   union all select doc_id, 0, 5, r + 1, 1, 1, 'number', 2 * cents, null, (2 * cents)::varchar, '=B' || (r + 1) || '*2' from {_NUMBERED})"""
 )
 def xlsx_bboxes(s: SparkSession, d: str) -> DataFrame:
+    """Cells of the workbooks."""
+    return elements.xlsx_boxes(stored(elements.xlsx(workbooks(s, d)), "elements")).drop("page_id")
+
+
+@query(f"select doc_id, 0 as page_id, 'Orders' as name, 5.0::double as width, (count(*) + 1)::double as height, 'A1:B1' as merges from {_NUMBERED} group by doc_id")
+def xlsx_sheets(s: SparkSession, d: str) -> DataFrame:
+    """Sheets of the workbooks with their extent and merged areas."""
+    return elements.xlsx_sheets(elements.xlsx(workbooks(s, d))).withColumn("merges", F.array_join("merges", ","))
+
+
+def workbooks(s: SparkSession, d: str) -> DataFrame:
     """Each customer's orders as a workbook: a merged title of shared strings, numbers, inline strings, booleans and formulas."""
     y = (F.col("r") + 1).cast("string")
     c = lambda col, attrs, body: F.concat(F.lit(f'<c r="{col}'), y, F.lit(f'"{attrs}>'), body, F.lit("</c>"))
@@ -91,8 +102,7 @@ def xlsx_bboxes(s: SparkSession, d: str) -> DataFrame:
     head = '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1"><v>9</v></c><c r="C1" t="s"><v>1</v></c></row>'
     row = F.concat(F.lit("<row>"), *cells, F.lit("</row>"))
     body = F.concat(F.lit(f'<worksheet xmlns="{_MAIN}"><sheetData>{head}'), F.col("rows"), F.lit('</sheetData><mergeCells><mergeCell ref="A1:B1"/></mergeCells></worksheet>'))
-    files = _per_customer(s, d, row).select("doc_id", _packed(body, "xl/worksheets/sheet1.xml", _BOOK).alias("content"))
-    return elements.xlsx_boxes(stored(elements.xlsx(files), "elements")).drop("page_id")
+    return _per_customer(s, d, row).select("doc_id", _packed(body, "xl/worksheets/sheet1.xml", _BOOK).alias("content"))
 
 
 _SPACED = "(select doc_id, page_id, (y / 12)::bigint as row_cluster, ord, x * 4 as x, w * 3 + case when w % 3 = 0 then w + 2 else 0 end as w, h, text from word_boxes)"

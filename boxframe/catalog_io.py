@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalog import docs, query, report, table
 from .functions import casts
-from .operators import containers, evaluate, geometry, metadata
+from .operators import containers, evaluate, geometry
 from .plans.oracle_ctes import sql
 from .plans.store import stored
 from .schema import PAGE_KEY
@@ -73,10 +73,10 @@ def text_boxes_lateral(s: SparkSession, d: str) -> DataFrame:
     return s.sql("select d.doc_id, count(*) as boxes, cast(sum(b.w) as bigint) as bytes from {docs} d, lateral bb_text(cast(d.text as binary)) b group by d.doc_id", docs=docs(s, d))
 
 
-@query("select doc_id, 'text' as dialect, sha256(text) as sha256, strlen(text)::bigint as size, 1 as page_count from documents where text is not null and text <> ''")
+@query("select doc_id, 'text' as dialect, sha256(text) as sha256, strlen(text)::bigint as size, 1 as page_count from documents where text <> '' union all select -1 - page_id, 'html', sha256(html), strlen(html), 1 from pages where html <> ''")
 def document_headers(s: SparkSession, d: str) -> DataFrame:
-    h = docs(s, d).where("text <> ''").select("doc_id", metadata.as_json("header", F.col("text").cast("binary")).alias("j"))
-    return h.select("doc_id", F.inline(F.array(F.from_json("j", "dialect string, sha256 string, size long, page_count int"))))
+    pages = table(s, d, "pages").select((-1 - F.col("page_id")).alias("doc_id"), F.col("html").cast("binary").alias("content"))
+    return elements.headers(docs(s, d).select("doc_id", F.col("text").cast("binary").alias("content")).unionByName(pages))
 
 
 @query("select doc_id, '' as path, 0 as depth, 'other' as dialect, strlen(text)::bigint as size from documents where text <> ''")

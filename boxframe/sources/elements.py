@@ -280,6 +280,20 @@ def doc(df: DataFrame, content: str = "content") -> DataFrame:
     return df.where(F.octet_length(data) > 0).select("doc_id", F.lit(0).alias("document_id"), detect(data).alias("source_type"), F.lit(None).cast("string").alias("filename"), F.sha2(data, 256).alias("checksum"), F.lit(1).alias("page_count"))
 
 
+def xlsx_sheets(elements: DataFrame) -> DataFrame:
+    """doc_id, page_id, name, width, height and merges (the areas in the file's order, null for none) of the sheets that have a part."""
+    merges = elements.where("kind = 'merge'").groupBy("doc_id", F.col("page").alias("page_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "ref"))), lambda m: m["ref"]).alias("merges"))
+    return xlsx_pages(elements).join(merges, ["doc_id", "page_id"], "left")
+
+
+def headers(df: DataFrame, content: str = "content") -> DataFrame:
+    """doc_id, dialect, sha256, size and page_count of documents of any format; a workbook has as many pages as sheets, PDF and XLS an unknown number."""
+    rows = df.select("doc_id", F.col(content).cast("binary").alias("content")).where(F.octet_length("content") > 0).withColumn("dialect", detect(F.col("content")))
+    sheets = xlsx(rows.where("dialect = 'xlsx'")).where("kind = 'sheet'").groupBy("doc_id").agg(F.count("*").cast("int").alias("sheets"))
+    told = rows.select("doc_id", "dialect", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("size"))
+    return told.join(sheets, "doc_id", "left").select("doc_id", "dialect", "sha256", "size", F.when(F.col("dialect").isin("text", "html", "docx"), F.lit(1)).otherwise(F.col("sheets")).alias("page_count"))
+
+
 def page_extent(boxes: DataFrame, last: int = 0) -> DataFrame:
     """doc_id, page_id, width and height of pages that end with their boxes; last is 1 where coordinates start at 1."""
     return boxes.groupBy("doc_id", "page_id").agg(F.max(F.col("x") + F.col("w") - last).alias("width"), F.max(F.col("y") + F.col("h") - last).alias("height"))
