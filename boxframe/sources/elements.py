@@ -11,6 +11,7 @@ from __future__ import annotations
 import sys
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import partial
 from io import BytesIO
 from xml.etree import ElementTree
 
@@ -181,7 +182,7 @@ def docx_boxes(elements: DataFrame) -> DataFrame:
 # -- XLSX -----------------------------------------------------------------------------------------
 
 
-def _xlsx(data: bytes) -> Iterator[tuple]:
+def _xlsx(data: bytes, first: int = 0, last: int = 0) -> Iterator[tuple]:
     m = readers._M
     try:
         with zipfile.ZipFile(BytesIO(data)) as z:
@@ -190,6 +191,8 @@ def _xlsx(data: bytes) -> Iterator[tuple]:
                 for i, s in enumerate(ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iterfind(f"{m}si")):
                     yield "shared", None, str(i), None, None, readers._unescape("".join(t.text or "" for t in s.iter(f"{m}t"))), None, None, None
             for page, (name, part) in enumerate(readers.workbook_parts(z)):
+                if page + 1 < first or 0 < last < page + 1:
+                    continue
                 yield "sheet", page, name, None, None, part, None, None, None
                 if not part:
                     continue
@@ -208,9 +211,12 @@ def _xlsx(data: bytes) -> Iterator[tuple]:
         return
 
 
-def xlsx(df: DataFrame, content: str = "content") -> DataFrame:
-    """Elements of workbooks: kind (shared, sheet, cell, merge), page, ref (a name, index or area), type, style, raw value, formula and the area it fills."""
-    return _elements(df, content, "kind string, page int, ref string, t string, style int, raw string, has_formula boolean, formula string, area string", _xlsx)
+def xlsx(df: DataFrame, content: str = "content", first: int = 0, last: int = 0) -> DataFrame:
+    """Elements of workbooks: kind (shared, sheet, cell, merge), page, ref (a name, index or area), type, style, raw value, formula and the area it fills.
+
+    Of the sheets first to last only, from 1, both included, as far as there are any; 0 is no bound. Others are not unpacked.
+    """
+    return _elements(df, content, "kind string, page int, ref string, t string, style int, raw string, has_formula boolean, formula string, area string", partial(_xlsx, first=first, last=last))
 
 
 def _place(ref: Column) -> tuple[Column, Column]:

@@ -61,6 +61,9 @@ def test_xlsx(spark):
     found = compare(spark, [zipped(parts), zipped({"xl/workbook.xml": book}), b"PK\x03\x04broken", b"x", None], "xlsx", elements.xlsx, elements.xlsx_boxes)
     pages = {(x.page_id, x.name, x.width, x.height) for x in elements.xlsx_pages(found).where("doc_id = 0").collect()}
     assert pages == {(0, "one", 27.0, 11.0), (2, "two", 2.0, 2.0)}
+    df = spark.createDataFrame([(0, bytearray(zipped(parts)))], "doc_id long, content binary")
+    kept = lambda *a: {x.page_id for x in elements.xlsx_pages(elements.xlsx(df, "content", *a)).collect()}
+    assert (kept(0, 0), kept(2, 9), kept(1, 1), kept(-3, 2), kept(4, 0)) == ({0, 2}, {2}, {0}, {0}, set())
     assert readers.read_xlsx(zipped(parts)).pages == [(0, 27.0, 11.0), (2, 2.0, 2.0)]
 
 
