@@ -17,7 +17,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from boxframe import catalog  # noqa: E402
 
-HEADLINE = ("text_bboxes", "text_pages", "stream_tumbling", "aggregate_grouped", "join_nearest", "html_bboxes", "bboxes_json", "report_cells", "pass1_types", "table_regions", "treemap_paths")
+HEADLINE = ("text_bboxes", "text_pages", "stream_tumbling", "aggregate_grouped", "join_nearest", "html_bboxes", "bboxes_json", "report_cells", "pass1_types", "table_regions", "role_scores", "domain_scores", "cell_bitmaps", "text_recall_fuzzy", "layout_agreement", "xlsx_bboxes", "treemap_paths")
 
 
 def main() -> None:

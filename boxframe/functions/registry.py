@@ -7,6 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+#: The format of bytes by their first ones.
+_DETECT = r"""CASE WHEN hex(substring(content, 1, 4)) = '25504446' THEN 'pdf'
+  WHEN hex(substring(content, 1, 4)) = '504B0304' THEN IF(instr(decode(substring(content, 1, 4096), 'ISO-8859-1'), 'word/') > 0
+    AND (instr(decode(substring(content, 1, 4096), 'ISO-8859-1'), 'xl/') = 0 OR instr(decode(substring(content, 1, 4096), 'ISO-8859-1'), 'word/') < instr(decode(substring(content, 1, 4096), 'ISO-8859-1'), 'xl/')), 'docx', 'xlsx')
+  WHEN hex(substring(content, 1, 8)) = 'D0CF11E0A1B11AE1' THEN 'xls'
+  WHEN decode(substring(content, 1, 4096), 'ISO-8859-1') RLIKE r'(?i)\A(\xEF\xBB\xBF)?[ \t\n\x0B\f\r]*(<!doctype[ \t\n\x0B\f\r]+html|<html(>|[ \t\n\x0B\f\r]|\z))' THEN 'html' ELSE 'text' END"""
 #: Name: (parameters, result, body).
 SCALARS: dict[str, tuple[str, str, str]] = {
     "bb_provenance": (
@@ -29,6 +35,8 @@ SCALARS: dict[str, tuple[str, str, str]] = {
         """CASE WHEN try_variant_get(try_parse_json(meta), '$.core.creator', 'string') <=> try_variant_get(try_parse_json(other), '$.core.creator', 'string')
   AND try_variant_get(try_parse_json(meta), '$.core.created', 'timestamp') <=> try_variant_get(try_parse_json(other), '$.core.created', 'timestamp') THEN 'corroborated' ELSE 'independent' END""",
     ),
+    "bb_detect": ("content BINARY", "STRING", _DETECT),
+    "bb_info": ("content BINARY", "STRING", f"to_json(named_struct('checksum', sha2(content, 256), 'document_id', 0, 'page_count', IF({_DETECT} IN ('text', 'html', 'docx'), 1, NULL), 'source_type', {_DETECT}))"),
     "bb_sha256": ("content BINARY", "STRING", "sha2(content, 256)"),
     "bb_text_doc_json": ("content BINARY", "STRING", "to_json(named_struct('checksum', sha2(content, 256), 'document_id', 0, 'page_count', 1, 'source_type', 'text'))"),
     "bb_text_pages_json": (

@@ -74,11 +74,12 @@ def _function(name: str, fmt: str):
 
 
 def register(spark: SparkSession) -> list[str]:
-    """Registers bb[_text|_html|_docx|_xlsx][_doc|_pages|_fonts|_styles] as table functions of bytes, usable laterally."""
+    """Registers bb[_text|_html|_docx|_xlsx][_doc|_pages|_fonts|_styles] as table functions of bytes, usable laterally; bb..._blob is another name for the boxes."""
     names = []
     for fmt in ("auto", "text", "html", "docx", "xlsx"):
         for name in TABLES:
             sql = "bb" + ("" if fmt == "auto" else f"_{fmt}") + ("" if name == "bboxes" else f"_{name}")
-            spark.udtf.register(sql, _function(name, fmt))
-            names.append(sql)
+            for n in (sql, f"{sql}_blob") if name == "bboxes" else (sql,):
+                spark.udtf.register(n, _function(name, fmt))
+                names.append(n)
     return names

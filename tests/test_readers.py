@@ -5,7 +5,7 @@ import zipfile
 
 import pytest
 
-from boxframe.functions import casts
+from boxframe.functions import casts, registry
 from boxframe.operators import metadata
 from boxframe.sources import detect, documents, readers
 
@@ -95,7 +95,7 @@ def test_five_tables_and_functions(spark):
     assert {x.doc_id: x.source_type for x in documents.table(p, "doc").collect()} == {1: "html", 2: "text"}
     assert [documents.table(p, t).count() for t in documents.TABLES] == [2, 2, 2, 2, 3]
     names = documents.register(spark)
-    assert len(names) == 25 and spark.sql("select * from bb_text(cast('a\nb' as binary))").count() == 2
+    assert len(names) == 30 and spark.sql("select * from bb_text(cast('a\nb' as binary))").count() == spark.sql("select * from bb_blob(cast('a\nb' as binary))").count() == 2
     assert spark.sql("select source_type from bb_doc(cast('<html>' as binary))").first()[0] == "html"
 
 
@@ -115,3 +115,17 @@ def test_scalars(spark):
     assert one(casts.pdf_date(F.lit("D:20240115103000+01'00'"))) == "2024-01-15T10:30:00+01:00" and one(casts.pdf_date(F.lit("D:2024"))) == "2024-01-01T00:00:00" and one(casts.pdf_date(F.lit("x"))) == "x"
     assert [one(casts.try_number(F.lit(x))) for x in ("1_000", "1e3", "1d", " -.5 ", "")] == [1000.0, 1000.0, None, -0.5, None]
     assert [str(one(casts.try_day(F.lit(x)))) for x in ("2024-01-15", "24/01/15", "2024", "today", "2024-13-01")] == ["2024-01-15", "0024-01-15", "None", "None", "None"]
+
+
+def test_sql_functions(spark):
+    names = registry.register(spark)
+    assert {"bb_provenance", "bb_sheets", "bb_info"} <= set(names)
+    meta = '{"core": {"creator": "a", "lastModifiedBy": "b", "created": "2024-01-02", "modified": "2024-01-01"}, "workbook": {"sheet_count": 2}, "sheets": [{"name": "x", "rows": 3}, {"name": "y"}]}'
+    df = spark.createDataFrame([(meta,), ("{}",), ("not json",), (None,)], "meta string")
+    got = [tuple(x) for x in df.selectExpr("bb_provenance(meta)", "bb_temporal(meta)", "bb_consistency(meta)", "bb_corroboration(meta, meta)").collect()]
+    assert got[0] == ("several_authors", "inverted", "consistent", "corroborated") and set(got[1:]) == {("anonymous", "unknown", "inconsistent", "corroborated")}
+    assert [tuple(x) for x in spark.sql("select t.* from {d} d, lateral bb_sheets(d.meta) t order by pos", d=df).collect()] == [(0, "x", 3), (1, "y", None)]
+    assert spark.sql("select t.* from {d} d, lateral bb_properties(d.meta) t", d=df).count() == 4
+    for data in CASES:
+        kind = spark.createDataFrame([(bytearray(data),)], "c binary").selectExpr("get_json_object(bb_info(c), '$.source_type') AS k").first().k
+        assert kind == CASES[data]
