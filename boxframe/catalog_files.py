@@ -154,20 +154,21 @@ def tokens_without_domain(s: SparkSession, d: str) -> DataFrame:
     return domains.unknown_tokens(geometry.document_cells(report(s, d)), CELL_KEY, vocabulary(s, d))
 
 
-@F.pandas_udf("binary")
-def _archive(inner: pd.Series, note: pd.Series, sheet: pd.Series) -> pd.Series:
+def _archive(inner: Column, note: Column, sheet: Column) -> Column:
     """An archive of an archive, a note, a folder and a workbook."""
 
-    def one(a: bytes, b: str, c: bytes) -> bytes:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as z:
-            z.writestr("deep/inner.zip", a)
-            z.writestr("deep/", b"")
-            z.writestr("note.xml", b)
-            z.writestr("book.xlsx", c)
-        return out.getvalue()
+    @F.pandas_udf("binary")
+    def packed(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        def one(*contents: bytes | str) -> bytes:
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w") as z:
+                for name, content in zip(("deep/inner.zip", "note.xml", "book.xlsx", "deep/"), (*contents, b""), strict=True):
+                    z.writestr(name, content)
+            return out.getvalue()
+
+        return pd.Series([one(*x) for x in zip(a, b, c, strict=True)])
 
-    return pd.Series([one(a, b, c) for a, b, c in zip(inner, note, sheet, strict=True)])
+    return packed(inner, note, sheet)
 
 
 @query(
