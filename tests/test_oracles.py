@@ -7,7 +7,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from boxframe import catalog
+from boxframe import catalog, catalog_evidence
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -22,6 +22,16 @@ def con():
     return c
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_evidence_chain():
+    """The wide frame of evidence is stored once for all queries on it."""
+    build, kept = catalog.wide, {}
+    with pytest.MonkeyPatch.context() as m:
+        for module in (catalog, catalog_evidence):
+            m.setattr(module, "wide", lambda s, d: kept.get(d) or kept.setdefault(d, build(s, d)))
+        yield
+
+
 def plain(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else f"{v:.9g}"
