@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_if_small, discard, ship, space_words, stored, text_hash
+from .common import ascii_lower, broadcast_if_small, discard, ship, small, space_words, stored, text_hash
 
 ship(__name__)
 
@@ -39,6 +39,8 @@ RADIUS = 2
 SHINGLE = 3
 #: Fingerprints of the sample that shapes the tree; a bound on what the driver ever sees.
 SAMPLE = 65_536
+#: Documents that leave are told by a broadcast of this many ids at most; more are told by a join.
+LEAVING = 1_000_000
 SHARD_POINTS = 8_192
 #: Visitors of a shard that one task compares with its points.
 VISITORS = 65_536
@@ -52,7 +54,7 @@ CHUNK = 1 << 16
 # -- fingerprints ---------------------------------------------------------------------------------
 
 
-def _majority(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def majority(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The fingerprint of each list of 64-bit hashes; offsets has one more entry than there are lists."""
     counts = np.diff(offsets)
     ones = np.zeros((len(counts), 64), np.int64)
@@ -70,7 +72,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     for b in batches:
         h = b.column("__bf_h")
         offsets = h.offsets.to_numpy().astype(np.int64)
-        fp = _majority(h.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0])
+        fp = majority(h.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0])
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "th")), pa.array(fp)], ["doc_id", "th", "fp"])
 
 
@@ -285,7 +287,12 @@ def representatives(docs: DataFrame, found: DataFrame | None = None) -> DataFram
     found = stored(classes(docs), "classes") if found is None else found
     best = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("m"))
     best = stored(best.select(F.col("m.doc_id").alias("__bf_d"), F.col("m.th").alias("__bf_t")).distinct(), "representatives")
-    out = docs.withColumn("__bf_th", text_hash(F.col("text"))).join(best, F.col("doc_id").eqNullSafe(F.col("__bf_d")) & (F.col("__bf_th") == F.col("__bf_t")), "left_semi")
+    here = F.col("doc_id").eqNullSafe(F.col("__bf_d")) & (F.col("__bf_th") == F.col("__bf_t"))
+    out = docs.withColumn("__bf_th", text_hash(F.col("text")))
+    ids = found.select(F.col("doc_id"), F.col("th").alias("__bf_th")).distinct()
+    gone = stored(ids.join(best, here, "left_anti").toDF("__bf_d", "__bf_t"), "leaving")
+    # The texts need not move to leave out a few.
+    out = out.join(F.broadcast(gone), here, "left_anti") if small(gone, LEAVING) else out.join(best, here, "left_semi")
     if found.count() > found.select("doc_id", "th").distinct().count():
         # Repeated rows: their representative stands there more than once.
         out = out.withColumn("__bf_n", F.expr("row_number() over (partition by doc_id, __bf_th order by doc_id)")).where("__bf_n = 1").drop("__bf_n")
