@@ -1,6 +1,10 @@
 """Near-duplicates by shingles: the components of texts whose sets of five-word shingles have a Jaccard
 similarity of at least 0.8.
 
+SimHash comes first: the fingerprints of the sets are searched in the vantage-point shards of ``simhash``, and what lies within its
+radius is verified by the exact similarity and joined to components. Fingerprints of a similarity of 0.8 may lie much
+further apart than any radius that prunes, so an exact search follows for the pairs of different components.
+
 A prefix-filtered set join finds every such pair. All shingles have one order, common ones last; two sets of
 similarity 4/5 share one of the first n / 5 + 1 shingles of each, so texts that share such a key, and whose sizes
 and positions allow it, are candidates. Candidates are verified by the exact similarity. A sample only shapes the
@@ -29,6 +33,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .common import ascii_lower, broadcast_if_small, discard, ship, space_words, stored, text_hash
+from .simhash import majority
 
 ship(__name__)
 
@@ -72,30 +77,32 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def _prefixes(common: np.ndarray, count: np.ndarray) -> Callable:
-    """Rows with sid, n (the size of the set) and prefix, its first n // 5 + 1 shingles."""
+    """Rows with sid, fp (the fingerprint of the set), n (its size) and prefix, its first n // 5 + 1 shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sizes, firsts = [], [], []
+            ids, sizes, firsts, whole = [], [], [], []
             for i, s in _sets(b):
+                whole.append(s)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                     s = s[np.argsort(np.where(common[at] == s, count[at], 0), kind="stable")]
                 ids.append(i)
                 sizes.append(len(s))
                 firsts.append(s[: len(s) // 5 + 1])
-            new = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), *new], ["doc_id", "th", "sid", "n", "prefix"])
+            fp = majority(np.concatenate([np.zeros(0, np.int64), *whole]), np.cumsum([0, *sizes]))
+            new = [pa.array(ids, pa.int64()), pa.array(fp), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), *new], ["doc_id", "th", "sid", "fp", "n", "prefix"])
 
     return run
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, th, sid, n and prefix, one row per row of docs."""
+    """doc_id, th, sid, fp, n and prefix, one row per row of docs."""
     part = shingle_sets(docs.where(F.pmod(text_hash(F.col("text")), F.lit(SAMPLE)) == 0)).select(F.explode("s").alias("h"))
     common = part.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON).orderBy(F.desc("c"), "h").limit(MAX_COMMON).toPandas().sort_values("h")
     run = _prefixes(common.h.to_numpy(np.int64), common.c.to_numpy(np.int64))
-    return _shingled(docs).mapInArrow(run, "doc_id long, th long, sid long, n long, prefix array<long>")
+    return _shingled(docs).mapInArrow(run, "doc_id long, th long, sid long, fp long, n long, prefix array<long>")
 
 
 def _sizes_allow(x: str, y: str) -> Column:
@@ -133,6 +140,16 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
+def near_fingerprints(points: DataFrame) -> DataFrame:
+    """a, b: pairs of points (a stored table) that span those whose fingerprints are within simhash's radius, each once."""
+    leads = stored(points.groupBy("fp").agg(F.min("sid").alias("lead"), F.count("*").alias("m")), "leads")
+    equal = points.select("sid", "fp").join(broadcast_if_small(stored(leads.where("m > 1"), "equal"), BROADCAST), "fp").where("sid > lead")
+    close = stored(simhash.link(leads.select("fp")).distinct(), "close")
+    close = close.join(leads.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a").join(leads.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b")
+    pairs = equal.select(F.col("lead").alias("a"), F.col("sid").alias("b")).unionByName(close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    return stored(pairs.distinct(), "fingerprint_pairs")
+
+
 def _kept(rows: DataFrame, held: DataFrame, columns: list[Column | str]) -> DataFrame:
     """These columns of the rows whose key is held."""
     held = stored(held.select("key"), "open")
@@ -144,8 +161,11 @@ def _kept(rows: DataFrame, held: DataFrame, columns: list[Column | str]) -> Data
 def _shared(points: DataFrame) -> DataFrame:
     """key, x and root of the points by keys that several points have. Each point is its own root here, so counting needs no roots."""
     keys = points.select("sid", "n", F.posexplode("prefix").alias("pos", "key"))
-    held = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    return _kept(keys, held, ["key", F.struct("sid", "n", "pos").alias("x"), F.col("sid").alias("root")])
+    held = stored(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "open")
+    # Merged at any size: the keys grow with the texts, and so what is shuffled stays in proportion.
+    out = stored(keys.join(held.hint("merge"), "key", "left_semi").select("key", F.struct("sid", "n", "pos").alias("x"), F.col("sid").alias("root")), "rows")
+    discard(held)
+    return out
 
 
 def _open(rows: DataFrame, much: int = 0) -> DataFrame:
@@ -166,11 +186,11 @@ def _untested(pairs: DataFrame, tested: list[DataFrame]) -> DataFrame:
 
 
 def link(points: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b: links that span the components of the points sid, n, prefix, least (a stored table)."""
+    """a, b: links that span the components of the points sid, fp, n, prefix, least (a stored table)."""
+    tested = [near_fingerprints(points)]
+    links = [verified(tested[0], points, docs)]
     rows = _shared(points)
-    links: list[DataFrame] = []
-    tested: list[DataFrame] = []
-    wide = _open(rows, WIDE[0])
+    wide = _open(_moved(rows, links), WIDE[0])
     for turn, much in enumerate(WIDE):
         if turn:
             wide, before = _open(_moved(wide, links), much), wide
@@ -183,9 +203,8 @@ def link(points: DataFrame, docs: DataFrame) -> DataFrame:
         tested.append(stored(_untested(star, tested), "stars"))
         links.append(verified(tested[-1], points, docs))
     discard(wide)
-    if links:
-        rows, before = _open(_moved(rows, links)), rows
-        discard(before)
+    rows, before = _open(_moved(rows, links)), rows
+    discard(before)
     met = rows.join(rows.select("key", F.col("x").alias("y"), F.col("root").alias("of_y")), "key")
     rest = _pairs(met.where((F.col("root") < F.col("of_y")) & _sizes_allow("x", "y")))
     rest = stored(_untested(rest, tested), "rest")
@@ -197,10 +216,12 @@ def link(points: DataFrame, docs: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, th and group (a point of the component), one row per row of docs."""
     rows = stored(prefixes(docs), "prefixes")
-    points = stored(rows.groupBy("sid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(F.struct("doc_id", "th")).alias("least")), "points")
+    points = stored(rows.groupBy("sid").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(F.struct("doc_id", "th")).alias("least")), "points")
+    rows, before = stored(rows.select("doc_id", "th", "sid"), "ids"), rows
+    discard(before)
     links = link(points, docs)
     comp = stored(simhash.components(links), "components")
-    out = stored(rows.select("doc_id", "th", "sid").join(broadcast_if_small(comp, BROADCAST), F.col("sid") == F.col("node"), "left").select("doc_id", "th", F.coalesce("root", "sid").alias("group")), "classes")
+    out = stored(rows.join(broadcast_if_small(comp, BROADCAST), F.col("sid") == F.col("node"), "left").select("doc_id", "th", F.coalesce("root", "sid").alias("group")), "classes")
     discard(rows, points, comp)
     return out
 

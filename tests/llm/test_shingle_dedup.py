@@ -2,7 +2,8 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-from boxframe.llm import shingle_dedup
+from boxframe.llm import shingle_dedup, simhash
+from boxframe.llm.common import stored
 
 from .helpers import LOWER, docs, empty, rows, space_words
 
@@ -88,3 +89,22 @@ def test_rounds_before_the_full_comparison_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(shingle_dedup, "WIDE", (0, 1, 0))
     monkeypatch.setattr(shingle_dedup, "HUBS", (1, 2, 5))
     check(spark, planted(7)[0])
+
+
+def test_fingerprints_are_searched_first(spark, monkeypatch):
+    """Vantage-point shards of fingerprints propose pairs of points; what they propose wrongly is no link, what they miss is found."""
+    r = random.Random(9)
+    long = [f"w{r.randrange(10**6)}" for _ in range(4000)]
+    df = spark.createDataFrame([(k, edited(r, long, k)[0]) for k in range(4)] + [(9, "no copy of them at all")], "doc_id long, text string")
+    rows = shingle_dedup.prefixes(df).collect()
+    bits = lambda x, y: ((x.fp ^ y.fp) & (2**64 - 1)).bit_count()
+    near = simhash.components(shingle_dedup.near_fingerprints(stored(shingle_dedup.prefixes(df), "p"))).collect()
+    want = {x.sid for x in rows for y in rows if x is not y and bits(x, y) <= 2}
+    assert want and {x.node for x in near} == want and next(x.sid for x in rows if x.doc_id == 9) not in want
+
+    texts, searched, link = planted(11)[0], [], simhash.link
+    monkeypatch.setattr(simhash, "link", lambda d: searched.append(d.count()) or link(d))
+    check(spark, texts)
+    monkeypatch.setattr(simhash, "RADIUS", 64)
+    check(spark, texts)
+    assert len(searched) == 2 and searched[0] == searched[1] > 300
