@@ -108,3 +108,20 @@ def test_fingerprints_are_searched_first(spark, monkeypatch):
     monkeypatch.setattr(simhash, "RADIUS", 64)
     check(spark, texts)
     assert len(searched) == 2 and searched[0] == searched[1] > 300
+
+
+def test_few_leaving_documents_move_no_texts(spark, monkeypatch):
+    """A broadcast tells the documents that leave, whatever Spark thinks of its size; too many are told by a join, with the same result."""
+    found = stored(shingle_dedup.classes(docs(spark)), "found")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = simhash.representatives(docs(spark), found)
+        plan = few._jdf.queryExecution().executedPlan().toString()
+        few = sorted(map(str, few.collect()))
+        monkeypatch.setattr(simhash, "LEAVING", 0)
+        many = simhash.representatives(docs(spark), found)
+        assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString() and "SortMergeJoin" not in plan
+        assert few == sorted(map(str, many.collect())) and 0 < len(few) < docs(spark).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
