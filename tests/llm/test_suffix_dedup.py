@@ -7,7 +7,7 @@ import pytest
 
 from boxframe.llm import suffix_dedup
 
-from .helpers import docs, empty, rows, table
+from .helpers import docs, empty, prose, rows, table
 
 
 def brute(data, least=400):
@@ -54,6 +54,18 @@ def test_pieces_do_not_change_rows(monkeypatch):
     assert at((key, lo, n)) == at(cut) and n.sum() == cut[2].sum() == len(text) - 399
 
 
+def test_passages_of_many_words_are_judged_by_bytes(spark):
+    """Over 50 words in two documents go from 400 bytes on and stay below; that is told by n_removed, n_bytes is the text's length."""
+    r = random.Random(9)
+    passage = lambda tail: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(57)) + tail
+    short, long = passage("x"), passage("xy")
+    assert (len(short), len(long)) == (399, 400)
+    data = [(i, f"{prose(r, 60)}{2 * i}{p}{2 * i + 1}{prose(r, 60)}") for i, p in enumerate([short, short, long, long, ""])]
+    got = suffix_dedup.digest(suffix_dedup.dedup(spark.createDataFrame(data, "doc_id long, text string")))
+    assert table(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute(data)
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans) for x in got.collect()} == {i: (len(t.encode()), 400 * (i in (2, 3)), int(i in (2, 3))) for i, t in data}
+
+
 def test_empty_table(spark):
     assert suffix_dedup.dedup(empty(spark)).count() == 0
     assert suffix_dedup.dedup(docs(spark)).count() == len(rows())
