@@ -24,9 +24,16 @@ def sliding_counts(events: DataFrame, size: str = "2 hours", step: str = "1 hour
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    """Gap clustering over time: a user's events at most a gap apart."""
-    w = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("s"), "user_id")
-    return w.agg(F.count("*").alias("n")).select("user_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n")
+    """Gap clustering over time: a user's events less than a gap apart.
+
+    On a stream an event counts while ts + gap is above the watermark, and may then reach back by a gap to a session that ended before it. So the
+    watermark waits for both, and events are counted by instant first: that step drops by ts what is late, which session windows do by their end.
+    """
+    each = events.withColumn("n", F.lit(1))
+    if events.isStreaming:
+        each = events.withWatermark("ts", f"{gap} {late}").groupBy("user_id", "ts").agg(F.count("*").alias("n"))
+    w = each.groupBy(F.session_window("ts", gap).alias("s"), "user_id")
+    return w.agg(F.sum("n").alias("n")).select("user_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n")
 
 
 def latest(feed: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import functions as F
 
 from boxframe.sinks import artifact
-from boxframe.streaming import feed, latest
+from boxframe.streaming import boxes, feed, latest
 from boxframe.streaming.replay import appended
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -105,3 +105,14 @@ def test_page_ranges_skip_files(spark, tmp_path):
     assert "band" in plan.split("PartitionFilters")[1].split("]")[0] and "GreaterThanOrEqual(page_id,20)" in plan
     read = some.select(F.input_file_name().alias("f")).distinct().count()
     assert read < every.select(F.input_file_name().alias("f")).distinct().count()
+
+
+def test_late_events_join_sessions_that_ended_before_them(spark):
+    at = lambda m: START + timedelta(minutes=m)
+    # The watermark stands at 190: what lies at 160 or before is late, and a session that ends at 189 can still go on.
+    rows = [(1, 150, 0), (1, 159, 0), (1, 200, 0), (2, 100, 0), (1, 161, 1), (1, 161, 1), (1, 160, 1), (2, 120, 1), (3, 165, 1)]
+    df = spark.createDataFrame([(u, at(m), k) for u, m, k in rows], "user_id long, ts timestamp, slice int")
+    got = appended(df, F.col("slice"), 2, boxes.sessions, "ts").where("user_id is not null")
+    minute = lambda c: ((F.unix_timestamp(c) - int(START.timestamp())) / 60).cast("int")
+    found = sorted(tuple(x) for x in got.select("user_id", minute("session_start"), minute("session_end"), "n").collect())
+    assert found == [(1, 150, 191, 4), (1, 200, 230, 1), (2, 100, 130, 1), (3, 165, 195, 1)]
