@@ -1,5 +1,6 @@
 """Properties of the operators: order of input, split of the corpus and copies of documents do not matter."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -112,3 +113,22 @@ def test_column_clusters_measure_from_the_first_member(spark):
     df = spark.createDataFrame([(1, 0, i, x) for i, x in enumerate(xs)] + [(2, 0, 9, 7.0), (2, 0, 10, 7.0)], "doc_id long, page_id int, ord int, x double")
     got = {r.ord: r.col_cluster for r in sequential.column_clusters(df).collect()}
     assert got == {0: 1, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: None, 9: 1, 10: 1}
+
+
+def test_centroid_rows_carry_the_mean_from_batch_to_batch(spark):
+    r = random.Random(3)
+    rows = [(d, p, i, float(r.randrange(50)), round(r.random() * 90, 2), 10.0) for d in (1, 2) for p in (0, 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, page_id int, ord long, x double, y double, h double")
+    want = {}
+    for key in {x[:2] for x in rows}:
+        row, centre, n = 0, None, 0
+        for m, _, i in sorted((x[4] + x[5] / 2, x[3], x[2]) for x in rows if x[:2] == key):
+            row, centre, n = (row + 1, m, 1) if centre is None or abs(m - centre) > 6 else (row, centre + (m - centre) / (n + 1), n + 1)
+            want[(*key, i)] = row
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = sequential.centroid_rows(df)
+        assert {tuple(x)[:3]: x.row_cluster for x in found.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "GroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
