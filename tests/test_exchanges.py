@@ -10,8 +10,8 @@ FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the driver's tables are not here")
 
 
-@pytest.mark.parametrize("name", ["report_cells", "section_scope"])
+@pytest.mark.parametrize("name", ["report_cells", "section_scope", "role_hypotheses", "constraint_violations", "declared_constraints", "roles_greedy", "treemap_paths", "role_features", "role_scores", "winning_tag", "role_argmax"])
 def test_one_exchange_and_no_stored_table(spark, name, monkeypatch):
     monkeypatch.setattr("pyspark.sql.readwriter.DataFrameWriter.parquet", lambda *a, **b: pytest.fail("a table is stored"))
     plan = catalog.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert plan.count("Exchange hashpartitioning") == plan.count("Exchange") == 1 and "Join" not in plan
